@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearspark.llm import bpe, decontaminate, pii, quality, secrets
+from nearspark.llm import bpe, decontaminate, pii, quality, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op5_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     machine = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
@@ -73,7 +77,7 @@ def op10_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_count_tokens, op5_find_secrets, op9_score_quality, op10_find_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_count_tokens, op5_find_secrets, op8_remove_repeats, op9_score_quality, op10_find_pii)}
 
 #: DuckDB SQL for those whose results SQL can state at the size of whole tables.
 ORACLE_SQL: dict[str, str] = {}
