@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearspark.llm import bpe, decontaminate, pii, quality, secrets, suffix_dedup
+from nearspark.llm import bpe, decontaminate, minhash, pii, quality, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op3_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.find_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), keep=["doc_id"])
     return found.select(
@@ -77,7 +81,7 @@ def op10_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_count_tokens, op5_find_secrets, op8_remove_repeats, op9_score_quality, op10_find_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_count_tokens, op4_near_duplicates, op5_find_secrets, op8_remove_repeats, op9_score_quality, op10_find_pii)}
 
 #: DuckDB SQL for those whose results SQL can state at the size of whole tables.
 ORACLE_SQL: dict[str, str] = {}
