@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearspark.llm import bpe, decontaminate, minhash, pii, quality, secrets, suffix_dedup
+from nearspark.llm import bpe, covertree, decontaminate, minhash, pii, quality, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op5_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.find_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -81,7 +85,7 @@ def op10_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_count_tokens, op4_near_duplicates, op5_find_secrets, op8_remove_repeats, op9_score_quality, op10_find_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_count_tokens, op4_near_duplicates, op5_find_secrets, op7_near_vectors, op8_remove_repeats, op9_score_quality, op10_find_pii)}
 
 #: DuckDB SQL for those whose results SQL can state at the size of whole tables.
 ORACLE_SQL: dict[str, str] = {}
