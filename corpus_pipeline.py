@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearspark.llm import decontaminate, pii, quality
+from nearspark.llm import decontaminate, minhash, mixing, pii, quality
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, machine).where("predicted = 1").select(*docs.columns)
 
 
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the least id."""
+    return minhash.deduplicate(docs).select(*docs.columns)
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark passages."""
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -26,10 +31,24 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return pii.redact_pii(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
+#: Target weights of domains (by a source's number) and languages.
+WEIGHTS = {("domain0",): 4.0, ("domain1",): 3.0, ("domain2",): 2.0, ("domain3",): 1.0, ("*", "en"): 5.0, ("*", "fr"): 2.0, ("*", "de"): 2.0, ("*", "es"): 1.0}
+#: Tokens of the mix, as a share of the tokens that reach it.
+BUDGET = 0.9
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of documents by target weights: the columns of documents with domain, n_tokens and epoch."""
+    domain = F.concat(F.lit("domain"), (F.regexp_extract("source", "[0-9]+", 0).try_cast("int") % 4).cast("string"))
+    return mixing.mix(docs, BUDGET, WEIGHTS, domain)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", classify),
+    ("near-duplicates", remove_near_duplicates),
     ("decontaminate", remove_benchmark),
     ("pii", remove_personal_data),
+    ("mixing", mix_sources),
 ]
 
 #: A fitted classifier and suffix arrays are not expressible in SQL.
