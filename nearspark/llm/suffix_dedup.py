@@ -417,19 +417,21 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     names = {f.name for f in _RESULT} | ({"kept_text"} if texts else set())
     kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key: Column = F.unhex(F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), text).cast("binary")))
+    # never null, so that no join puts a filter below the exchange that they share
+    key: Column = F.coalesce(F.unhex(F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), text).cast("binary"))), F.lit(b""))
     keyed = documents.select(key.alias("key"), text.alias("text"))
 
     suffixes = keyed.where(F.octet_length("text") >= length).mapInArrow(_suffixes(length, gram, shards), _Writer.SCHEMA)
     found = suffixes.groupBy("shard").applyInArrow(_resolve, _REPLY).groupBy("batch").applyInArrow(_by_document, _RANGES)
     found = cut(found.groupBy("key").agg(F.max("covered").alias("covered"), F.max("open").alias("open")))
 
-    opened = keyed.join(found.where(F.octet_length("open") > 0).select("key", "open"), "key").select("key", "text", "open")
+    # both joins below read this one exchange: the same columns reach them
+    rows = documents.select(key.alias("__key__"), F.col(f"`{text_col}`").cast("string").alias("__text__"), *[F.col(f"`{c}`") for c in kept]).repartition("__key__")
+    opened = rows.join(found.where(F.octet_length("open") > 0).select(F.col("key").alias("__key__"), "open"), "__key__").select("__key__", "__text__", "open", *[F.col(f"`{c}`") for c in kept])
     windows = opened.mapInArrow(_open_windows(length, shards), _Writer.SCHEMA)
     again = windows.groupBy("shard").applyInArrow(_repeated, _REPLY).groupBy("batch").applyInArrow(_by_document, _RANGES)
     again = again.select("key", F.col("covered").alias("more")).groupBy("key").agg(F.max("more").alias("more"))
 
-    rows = documents.select(key.alias("__key__"), F.col(f"`{text_col}`").cast("string").alias("__text__"), *[F.col(f"`{c}`") for c in kept])
     marked = found.where(F.octet_length("covered") > 0).select("key", "covered").join(again, "key", "full").withColumnRenamed("key", "__key__")
     joined = rows.join(marked, "__key__", "left").select("__text__", "covered", "more", *[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([documents.schema[c] for c in kept] + _RESULT + ([T.StructField("kept_text", T.StringType())] if texts else []))
