@@ -164,8 +164,7 @@ def _gather(table: pa.Table) -> pa.Table:
     left, right = left[order], right[order]
     new = np.ones(len(left), bool)
     new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    cells = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.astype(_ID).tobytes())]).cast(pa.binary())
-    return pa.Table.from_arrays([cells(left[new]), cells(right[new])], names=["a", "b"])
+    return pa.Table.from_arrays([_cells(left[new]), _cells(right[new])], names=["a", "b"])
 
 
 def _confirm(words: int, similarity: float):
@@ -248,9 +247,12 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     links = cut(confirmed(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = connected_components(links)
-    more = _between_classes(sets, pairs, roots, bands)
-    if not more.isEmpty():
-        links = links.union(confirmed(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    for best in (True, False):
+        more = _between_classes(sets, pairs, roots, bands, similarity, shards, best)
+        if more.isEmpty():
+            continue
+        pairs = pairs.union(more)
+        links = links.union(cut(confirmed(more).select(F.col("a").alias("u"), F.col("b").alias("v"))))
         roots = connected_components(links)
 
     classes = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("class"))
@@ -261,19 +263,67 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _between_classes(sets: DataFrame, pairs: DataFrame, roots: DataFrame, bands: int) -> DataFrame:
-    """Pairs of one band but different classes that were not compared yet."""
+#: Sets of a block; a task compares two blocks of one band.
+BLOCK = 256
+#: Candidates whose sketches agree in a share below the similarity less this are
+#: not linked: five standard deviations of a share of 288 coordinates.
+MARGIN = 0.12
+
+
+def _between_classes(sets: DataFrame, pairs: DataFrame, roots: DataFrame, bands: int, similarity: float, shards: int, best: bool) -> DataFrame:
+    """Pairs that share a band, not a class, and whose sketches are near enough, if not compared yet.
+
+    Members of all but a band's largest class meet all its members, block by
+    block, and only pairs that may be linked leave a task.  ``best``: of each
+    member and block only the nearest, which joins most classes; what is left
+    is asked for afterwards.
+    """
     run, fields = _bands_of(bands)
     seen = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    now = sets.select("set_id", "sketch").join(seen, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    entries = now.select("set_id", F.coalesce("root", "set_id").alias("class"), "sketch").mapInArrow(run, fields).select("set_id", "class", F.explode("bands").alias("band"))
+    now = sets.select("set_id", "sketch").join(seen, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("class"), "sketch")
+    entries = now.mapInArrow(run, fields).select("set_id", "class", F.explode("bands").alias("band"))
     counts = entries.groupBy("band", "class").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class"))["class"].alias("main")).where("classes > 1 and n > 2")
-    inside = entries.join(mixed.select("band", "main"), "band")
-    one = inside.where(F.col("class") != F.col("main")).select("band", F.col("set_id").alias("x"), F.col("class").alias("class_x"))
-    two = inside.select("band", F.col("set_id").alias("y"), F.col("class").alias("class_y"))
-    met = one.join(two, "band").where("class_x != class_y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    return cut(met.join(pairs, ["a", "b"], "left_anti"))
+    mixed = counts.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1 and n > 2")
+    sizes = mixed.select("band", F.col("main.class").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("minor_blocks"))
+    inside = entries.join(sizes, "band").join(sets.select("set_id", "sketch"), "set_id")
+    block = lambda count: F.pmod(F.xxhash64("set_id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    one = inside.where(F.col("class") != F.col("main")).select("band", block("minor_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "set_id", "class", "sketch")
+    two = inside.select("band", every("minor_blocks").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"), "set_id", "class", "sketch")
+    dealt = one.unionByName(two).withColumn("task", F.xxhash64("band", "i", "j")).withColumn("shard", F.pmod("task", F.lit(shards)))
+    met = dealt.select("shard", "task", "side", "set_id", "class", "sketch").groupBy("shard").applyInArrow(_near(similarity - MARGIN, best), _PAIR)
+    return cut(met.distinct().join(pairs, ["a", "b"], "left_anti"))
+
+
+def _near(least: float, best: bool):
+    def run(table: pa.Table) -> pa.Table:
+        task, side = table.column("task").to_numpy(), table.column("side").to_numpy()
+        ids = np.frombuffer(b"".join(table.column("set_id").to_pylist()), _ID)
+        _, kind = np.unique(np.array(table.column("class").to_pylist(), object), return_inverse=True)
+        coords = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(ids), -1)
+        order = np.lexsort((side, task))
+        cuts = np.flatnonzero(np.diff(task[order])) + 1
+        left, right = [], []
+        wanted = least * coords.shape[1]
+        for rows in np.split(order, cuts):
+            members = rows[side[rows] == 1]
+            for x in rows[side[rows] == 0].tolist():
+                agree = (coords[members] == coords[x]).sum(axis=1)
+                agree[kind[members] == kind[x]] = -1
+                chosen = np.flatnonzero(agree >= wanted)
+                if best and len(chosen):
+                    chosen = chosen[[agree[chosen].argmax()]]
+                left += [x] * len(chosen)
+                right += members[chosen].tolist()
+        one, two = ids[left], ids[right]
+        swap = (one["h"] < two["h"]) | ((one["h"] == two["h"]) & (one["l"] < two["l"]))
+        return pa.Table.from_arrays([_cells(np.where(swap, two, one)), _cells(np.where(swap, one, two))], names=["a", "b"])
+
+    return run
+
+
+def _cells(ids: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(ids.astype(_ID).tobytes())]).cast(pa.binary())
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
