@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from nearspark.llm.shared import cut
@@ -39,3 +40,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = cut(near.distinct())
         before, after = after, _signature(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def bipartite_classes(link: np.ndarray) -> np.ndarray:
+    """Component of each row and then of each column of a bipartite graph.
+
+    It is the number of a row; what has no link gets the number of rows.
+    """
+    rows = len(link)
+    label = np.where(link.any(axis=1), np.arange(rows), rows)
+    while True:
+        other = np.where(link, label[:, None], rows).min(axis=0, initial=rows)
+        new = np.minimum(label, np.where(link, other[None, :], rows).min(axis=1, initial=rows))
+        if (new == label).all():
+            return np.concatenate([label, other])
+        label = new

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from nearspark.llm.components import connected_components
+from nearspark.llm.components import bipartite_classes, connected_components
 from nearspark.llm.shared import cut
 
 COSINE = 0.93
@@ -117,18 +117,6 @@ def linked(one: CoverTree, two: CoverTree, cosine: float) -> np.ndarray:
     return whole
 
 
-def _classes(link: np.ndarray) -> np.ndarray:
-    """Component of each row and column of a bipartite graph, as a row number; -1 without links."""
-    rows, columns = link.shape
-    label = np.where(link.any(axis=1), np.arange(rows), rows)
-    while True:
-        other = np.where(link, label[:, None], rows).min(axis=0, initial=rows)
-        new = np.minimum(label, np.where(link, other[None, :], rows).min(axis=1, initial=rows))
-        if (new == label).all():
-            return np.concatenate([label, other])
-        label = new
-
-
 _ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("place", T.StringType()), T.StructField("unit", T.BinaryType())])
 
 
@@ -208,7 +196,7 @@ def _compare(cosine: float):
         link = linked(tree, tree if same else build(points[two], least), cosine)
         if same:
             np.fill_diagonal(link, False)
-        label = _classes(link)
+        label = bipartite_classes(link)
         rows = len(one)
         members = np.concatenate([one, two])
         links = np.concatenate([link @ n[two], np.zeros(len(two), np.int64) if same else n[one] @ link])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nearspark.llm import text as tx
 from nearspark.llm.batches import map_texts
-from nearspark.llm.components import connected_components
+from nearspark.llm.components import bipartite_classes, connected_components
 from nearspark.llm.shared import cut, shuffle_partitions
 
 SHINGLE = 5
@@ -247,13 +247,10 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     links = cut(confirmed(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = connected_components(links)
-    for best in (True, False):
-        more = _between_classes(sets, pairs, roots, bands, similarity, shards, best)
-        if more.isEmpty():
-            continue
-        pairs = pairs.union(more)
-        links = links.union(cut(confirmed(more).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        roots = connected_components(links)
+    touching = _touching(sets, pairs, roots, bands, similarity, shards)
+    if not touching.isEmpty():
+        more = _links_between(touching, roots, reps, texts, words, similarity, shards)
+        roots = connected_components(links.union(more))
 
     classes = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("class"))
     least = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
@@ -263,65 +260,120 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-#: Sets of a block; a task compares two blocks of one band.
+#: Sets of a block; a task compares two blocks.
 BLOCK = 256
 #: Candidates whose sketches agree in a share below the similarity less this are
 #: not linked: five standard deviations of a share of 288 coordinates.
 MARGIN = 0.12
+_LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
 
-def _between_classes(sets: DataFrame, pairs: DataFrame, roots: DataFrame, bands: int, similarity: float, shards: int, best: bool) -> DataFrame:
-    """Pairs that share a band, not a class, and whose sketches are near enough, if not compared yet.
+def _in_blocks(members: DataFrame, group: str, columns: list[str], shards: int) -> DataFrame:
+    """Members (group, set_id, class, columns) dealt to tasks of two blocks of their group.
 
-    Members of all but a band's largest class meet all its members, block by
-    block, and only pairs that may be linked leave a task.  ``best``: of each
-    member and block only the nearest, which joins most classes; what is left
-    is asked for afterwards.
+    All but the members of a group's largest class (side 0) meet all its
+    members (side 1); groups of one class are left out.
     """
-    run, fields = _bands_of(bands)
-    seen = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    now = sets.select("set_id", "sketch").join(seen, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("class"), "sketch")
-    entries = now.mapInArrow(run, fields).select("set_id", "class", F.explode("bands").alias("band"))
-    counts = entries.groupBy("band", "class").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1 and n > 2")
-    sizes = mixed.select("band", F.col("main.class").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("minor_blocks"))
-    inside = entries.join(sizes, "band").join(sets.select("set_id", "sketch"), "set_id")
+    counts = members.groupBy(group, "class").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy(group).agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = mixed.select(group, F.col("main.class").alias("main"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("main.n")).alias("minor_blocks"))
+    inside = members.join(sizes, group)
     block = lambda count: F.pmod(F.xxhash64("set_id"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    one = inside.where(F.col("class") != F.col("main")).select("band", block("minor_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "set_id", "class", "sketch")
-    two = inside.select("band", every("minor_blocks").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"), "set_id", "class", "sketch")
-    dealt = one.unionByName(two).withColumn("task", F.xxhash64("band", "i", "j")).withColumn("shard", F.pmod("task", F.lit(shards)))
-    met = dealt.select("shard", "task", "side", "set_id", "class", "sketch").groupBy("shard").applyInArrow(_near(similarity - MARGIN, best), _PAIR)
-    return cut(met.distinct().join(pairs, ["a", "b"], "left_anti"))
+    one = inside.where(F.col("class") != F.col("main")).select(group, block("minor_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "set_id", "class", *columns)
+    two = inside.select(group, every("minor_blocks").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"), "set_id", "class", *columns)
+    dealt = one.unionByName(two).withColumn("task", F.xxhash64(group, "i", "j")).withColumn("shard", F.pmod("task", F.lit(shards)))
+    return dealt.select("shard", "task", "side", "set_id", "class", *columns)
+
 
+def _by_task(compare):
+    """A shard's tasks; ``compare`` gives which rows of side 0 are linked to which of side 1."""
 
-def _near(least: float, best: bool):
     def run(table: pa.Table) -> pa.Table:
         task, side = table.column("task").to_numpy(), table.column("side").to_numpy()
         ids = np.frombuffer(b"".join(table.column("set_id").to_pylist()), _ID)
         _, kind = np.unique(np.array(table.column("class").to_pylist(), object), return_inverse=True)
-        coords = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(ids), -1)
+        payload = table.column(table.num_columns - 1).combine_chunks()
         order = np.lexsort((side, task))
-        cuts = np.flatnonzero(np.diff(task[order])) + 1
         left, right = [], []
-        wanted = least * coords.shape[1]
-        for rows in np.split(order, cuts):
-            members = rows[side[rows] == 1]
-            for x in rows[side[rows] == 0].tolist():
-                agree = (coords[members] == coords[x]).sum(axis=1)
-                agree[kind[members] == kind[x]] = -1
-                chosen = np.flatnonzero(agree >= wanted)
-                if best and len(chosen):
-                    chosen = chosen[[agree[chosen].argmax()]]
-                left += [x] * len(chosen)
-                right += members[chosen].tolist()
-        one, two = ids[left], ids[right]
-        swap = (one["h"] < two["h"]) | ((one["h"] == two["h"]) & (one["l"] < two["l"]))
-        return pa.Table.from_arrays([_cells(np.where(swap, two, one)), _cells(np.where(swap, one, two))], names=["a", "b"])
+        for rows in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            one, two = rows[side[rows] == 0], rows[side[rows] == 1]
+            apart = kind[one][:, None] != kind[two][None, :]
+            if not apart.any():
+                continue
+            label = bipartite_classes(compare(payload, one, two) & apart)
+            members = np.concatenate([one, two])
+            linked = np.flatnonzero(label < len(one))
+            left.append(members[linked])
+            right.append(one[label[linked]])
+        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.Table.from_arrays([_cells(ids[left]), _cells(ids[right])], names=["u", "v"])
 
     return run
 
 
+def _touching(sets: DataFrame, pairs: DataFrame, roots: DataFrame, bands: int, similarity: float, shards: int) -> DataFrame:
+    """(set_id, class, cluster) of sets that share a band and a near sketch with a set of another class.
+
+    A cluster holds whatever such candidates, or classes, connect.  Only a
+    forest that connects them leaves the tasks, not every pair.
+    """
+    run, fields = _bands_of(bands)
+    seen = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    now = sets.select("set_id", "sketch").join(seen, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("class"), "sketch")
+    entries = now.mapInArrow(run, fields).select("set_id", "class", F.explode("bands").alias("band"))
+    shared = entries.groupBy("band", "class").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
+    # the two sets of a band that holds no others were compared before
+    entries = entries.join(shared.where("classes > 1 and n > 2").select("band"), "band").join(sets.select("set_id", "sketch"), "set_id")
+    forest = cut(_in_blocks(entries, "band", ["sketch"], shards).groupBy("shard").applyInArrow(_by_task(_near(similarity - MARGIN)), _LINK).distinct())
+    touched = forest.select(F.col("u").alias("set_id")).union(forest.select("v")).distinct().join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("class"))
+    touched = cut(touched)
+    clusters = connected_components(forest.union(touched.select("set_id", "class")))
+    return cut(touched.join(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "set_id"))
+
+
+def _near(least: float):
+    """Which sketches agree in a share of ``least`` at least."""
+
+    def compare(payload: pa.Array, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        rows = lambda at: np.frombuffer(b"".join(payload.take(pa.array(at)).to_pylist()), "<u2").reshape(len(at), -1)
+        left, right = rows(one), rows(two)
+        return np.stack([(right == x).sum(axis=1) >= least * right.shape[1] for x in left])
+
+    return compare
+
+
+def _links_between(touching: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame, words: int, similarity: float, shards: int) -> DataFrame:
+    """Links (u, v) that join classes of a cluster: full sets are compared, block by block."""
+    fetched = touching.join(reps, "set_id").join(texts, "key").select("cluster", "set_id", "class", "text")
+    dealt = _in_blocks(fetched, "cluster", ["text"], shards)
+    return cut(dealt.groupBy("shard").applyInArrow(_by_task(_linked(words, similarity)), _LINK).distinct())
+
+
+def _linked(words: int, similarity: float):
+    """Which texts' shingle sets are similar enough."""
+    hundredths = round(100 * similarity)
+
+    def compare(payload: pa.Array, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        first, hashes = shingles(payload.take(pa.array(np.concatenate([one, two]))), words)
+        sizes = np.diff(first)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        known, place = np.unique(hashes, return_inverse=True)
+        both = np.zeros((len(one), len(two)))
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        for a in range(0, len(known), 1 << 13):  # a slice of the shingles as a 0-1 matrix of texts
+            low, high = np.searchsorted(place, (a, a + (1 << 13)))
+            has = np.zeros((len(sizes), min(1 << 13, len(known) - a)), np.float32)
+            has[owner[low:high], place[low:high] - a] = 1
+            both += has[: len(one)] @ has[len(one) :].T
+        union = sizes[: len(one)][:, None] + sizes[len(one) :][None, :] - both
+        return (100 * both >= hundredths * union) & (both > 0)
+
+    return compare
+
+
 def _cells(ids: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(ids.astype(_ID).tobytes())]).cast(pa.binary())
 
