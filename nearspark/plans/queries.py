@@ -71,12 +71,13 @@ def search_ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.search_best(reads(spark, sf_dir), [BARCODE], _dna(BARCODE_K, trace=False), text_col="seq", keep=["doc_id"])
-    return found.select("doc_id", "text_end", "cost")
+    found = S.search_best(reads(spark, sf_dir, "benchmark", "item_id"), [BARCODE], _dna(BARCODE_K, trace=False), text_col="seq", keep=["item_id"])
+    return found.select("item_id", "text_end", "cost")
 
 
 def cost_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.histogram(search_minima(spark, sf_dir), K)
+    found = S.search(reads(spark, sf_dir, "conversations", "conv_id"), [PATTERN], _dna(trace=False), text_col="seq", keep=[])
+    return R.histogram(found, K)
 
 
 def filter_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +99,8 @@ def search_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crispr_off_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = crispr(reads(spark, sf_dir), [GUIDE], GUIDE_K, 0.2, keep=["doc_id"])
-    return found.groupBy("doc_id", "strand", F.when(F.col("strand") == "+", F.col("text_end")).otherwise(F.col("text_start")).alias("place"), "cost").agg(F.count("*").alias("n"))
+    found = crispr(reads(spark, sf_dir, "benchmark", "item_id"), [GUIDE], GUIDE_K, 0.2, keep=["item_id"])
+    return found.groupBy("item_id", "strand", F.when(F.col("strand") == "+", F.col("text_end")).otherwise(F.col("text_start")).alias("place"), "cost").agg(F.count("*").alias("n"))
 
 
 def all_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +219,7 @@ def _source(name: str, key: str, text: str = "text") -> str:
 _PAIRS = ("ACGT", "TGCA")
 _COMPLEMENT = {x: PATTERN.translate(str.maketrans(*_PAIRS)) if x == "p" else GUIDE.translate(str.maketrans(*_PAIRS)) for x in "pg"}
 _END = "CAST(i AS INT) AS text_end, CAST(cost AS INT) AS cost"
+_CONVERSATIONS = f"SELECT row_number() OVER () AS id, {_bases_sql('text')} AS s FROM conversations"
 _DOCUMENTS = f"WITH {_costs(_source('documents', 'doc_id'), PATTERN, K)}, {_minima('c', K)}"
 _URLS = f"WITH {_costs('SELECT page_id AS id, url AS s FROM pages', URL, 3)}"
 
@@ -249,9 +251,9 @@ ORACLE_SQL: dict[str, str] = {
     "search_trace": _trace_sql(),
     "search_many": " UNION ALL ".join(_part_sql),
     "search_ignore_case": f"WITH {_costs('SELECT page_id AS id, lower(url) AS s FROM pages', 'example.com', 2)}, {_minima('c', 2)} SELECT id AS page_id, {_END} FROM c_hit",
-    "best_match": f"""WITH {_costs(_source('documents', 'doc_id'), BARCODE, BARCODE_K)}, {_minima('c', BARCODE_K)}
-SELECT id AS doc_id, {_END} FROM c_hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, i DESC) = 1""",
-    "cost_histogram": f"{_DOCUMENTS} SELECT CAST(r.k AS INT) AS cost, count(h.id) AS matches FROM (SELECT unnest(range(0, {K + 1})) AS k) r LEFT JOIN c_hit h ON h.cost = r.k GROUP BY r.k",
+    "best_match": f"""WITH {_costs(_source('benchmark', 'item_id'), BARCODE, BARCODE_K)}, {_minima('c', BARCODE_K)}
+SELECT id AS item_id, {_END} FROM c_hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY cost, i DESC) = 1""",
+    "cost_histogram": f"WITH {_costs(_CONVERSATIONS, PATTERN, K)}, {_minima('c', K)} SELECT CAST(r.k AS INT) AS cost, count(h.id) AS matches FROM (SELECT unnest(range(0, {K + 1})) AS k) r LEFT JOIN c_hit h ON h.cost = r.k GROUP BY r.k",
     "filter_matching": f"WITH {_costs(_source('documents', 'doc_id'), PATTERN, 1)} SELECT DISTINCT id AS doc_id FROM c WHERE cost <= 1",
     "filter_unmatched": f"WITH {_costs(_source('documents', 'doc_id'), PATTERN, 1)} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM c WHERE cost <= 1)",
     "search_ranges": f"""{_URLS}, g AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM c WHERE cost <= 3)
@@ -261,11 +263,11 @@ SELECT id AS page_id, CAST(min(i) AS INT) AS first_end, CAST(max(i) AS INT) AS l
 k AS (SELECT conv_id, row_number() OVER () AS id FROM conversations)
 SELECT conv_id, strand, CAST(place AS INT) AS place, CAST(cost AS INT) AS cost, count(*) AS n
 FROM (SELECT id, '+' AS strand, i AS place, cost FROM c_hit UNION ALL SELECT id, '-', n - i, cost FROM r_hit) JOIN k USING (id) GROUP BY ALL""",
-    "crispr_off_targets": f"""WITH {_costs(_source('documents', 'doc_id'), GUIDE, GUIDE_K)},
-{_costs(f"SELECT doc_id AS id, reverse({_bases_sql('text')}) AS s FROM documents", _COMPLEMENT['g'], GUIDE_K, 'r')},
+    "crispr_off_targets": f"""WITH {_costs(_source('benchmark', 'item_id'), GUIDE, GUIDE_K)},
+{_costs(f"SELECT item_id AS id, reverse({_bases_sql('text')}) AS s FROM benchmark", _COMPLEMENT['g'], GUIDE_K, 'r')},
 f AS (SELECT c.id, '+' AS strand, c.i AS place, c.cost FROM c JOIN c_w w USING (id, i) WHERE c.cost <= {GUIDE_K} AND right(w.w, 3) = '{GUIDE[-3:]}'
   UNION ALL SELECT r.id, '-', r.n - r.i, r.cost FROM r JOIN r_w w USING (id, i) WHERE r.cost <= {GUIDE_K} AND right(w.w, 3) = '{_COMPLEMENT['g'][-3:]}')
-SELECT id AS doc_id, strand, CAST(place AS INT) AS place, CAST(cost AS INT) AS cost, count(*) AS n FROM f GROUP BY ALL""",
+SELECT id AS item_id, strand, CAST(place AS INT) AS place, CAST(cost AS INT) AS cost, count(*) AS n FROM f GROUP BY ALL""",
     "sequence_functions": f"""WITH t AS (SELECT doc_id, {_bases_sql('text', WITH_N)} AS s FROM documents)
 SELECT doc_id, md5(translate(s, 'ACGTRYKMBDHV', 'TGCAYRMKVHDB')) AS complement_md5, md5(reverse(translate(s, 'ACGTRYKMBDHV', 'TGCAYRMKVHDB'))) AS revcomp_md5,
   regexp_full_match(s, '[ACGTacgt]*') AS valid_dna, true AS valid_iupac, CAST(length(s) - length(replace(s, 'N', '')) AS INT) AS n_count,
