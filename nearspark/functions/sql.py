@@ -30,6 +30,8 @@ def _search(mode: str, best: bool):
         fields = [(c, pa.int32()) for c in _NAMES[:5]] + [(c, pa.string()) for c in _NAMES[5:]]
         return pa.array(out, pa.list_(pa.struct(fields)))
 
+    # the registration looks at types, not at their names
+    run.__annotations__ = dict.fromkeys(("texts", "patterns", "ks", "alphabets", "return"), pa.Array)
     return run
 
 
@@ -41,13 +43,7 @@ def register(spark: SparkSession) -> None:
     null argument gives null.
     """
     for name, mode, best in (("fuzzy_search", "minima", False), ("fuzzy_search_all", "all", False), ("fuzzy_best", "minima", True)):
-        run = _search(mode, best)
-
-        def call(texts: pa.Array, patterns: pa.Array, ks: pa.Array, alphabets: pa.Array, run=run) -> pa.Array:
-            return run(texts, patterns, ks, alphabets)
-
-        call.__annotations__ = {"texts": pa.Array, "patterns": pa.Array, "ks": pa.Array, "alphabets": pa.Array, "return": pa.Array}
-        spark.udf.register(name, arrow_udf(call, MATCHES))
+        spark.udf.register(name, arrow_udf(_search(mode, best), MATCHES))
     a, b = both_cases(alphabet("iupac").pairs)
     letters = alphabet("iupac").letters
     made = {
