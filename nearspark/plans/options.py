@@ -103,6 +103,13 @@ class SearchOptions:
         return np.floor(np.float32(self.alpha) * beyond.astype(np.float32)).astype(np.int64)
 
 
+def pieces(pattern: bytes, k: int) -> list[bytes]:
+    """``k + 1`` disjoint pieces of nearly equal length; one is unchanged after ``k`` edits."""
+    m = len(pattern)
+    cuts = [m * i // (k + 1) for i in range(k + 2)]
+    return [pattern[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def overhang_steps(m: int, k: int, alpha: float | None, max_overhang: int | None = None) -> int:
     if alpha is None:
         return 0

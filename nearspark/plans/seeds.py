@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from nearspark.plans.options import SearchOptions
+from nearspark.plans.options import SearchOptions, pieces
 
 #: A piece this short is in almost every text.
 SHORTEST = 4
@@ -19,13 +19,6 @@ MOST_PIECES = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def pieces(pattern: bytes, k: int) -> list[bytes]:
-    """``k + 1`` disjoint pieces of nearly equal length."""
-    m = len(pattern)
-    cuts = [m * i // (k + 1) for i in range(k + 2)]
-    return [pattern[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def seed_filter(text: Column, patterns: Sequence[bytes], options: SearchOptions) -> Column | None:
     """Whether a text may hold a match; ``None`` where pieces decide nothing.
 

@@ -119,6 +119,27 @@ def test_costs_against_plain_programming():
         assert [(x[2], x[5]) for x in run(p, t, k=k)] == minima(cost, k)
 
 
+@pytest.mark.parametrize("letters", ["ascii", "ascii_ci", "dna", "iupac"])
+def test_windows_near_pieces_hold_all_matches(monkeypatch, letters):
+    from nearspark.kernel import scan
+
+    rng = random.Random(9)
+    for _ in range(40):
+        p = random_sequence(rng, rng.randint(16, 90)).decode()
+        t = plant(rng, random_sequence(rng, 3000), [mutate(rng, p.encode(), rng.randint(0, 4)) for _ in range(4)])[0].decode()
+        if letters == "iupac":
+            t = "".join(rng.choice("NRY") if rng.random() < 0.002 else c for c in t)
+        if letters != "ascii":
+            t = "".join(c.lower() if rng.random() < 0.3 else c for c in t)
+        more = dict(alphabet=letters, k=rng.randint(0, 3), rc=letters in ("dna", "iupac"), mode=rng.choice(["minima", "all"]))
+        if letters == "iupac":
+            more |= dict(alpha=rng.choice([None, 0.4]))
+        found = run(p, t, **more)
+        with monkeypatch.context() as patch:
+            patch.setattr(scan, "SHORTEST", 99)
+            assert run(p, t, **more) == found
+
+
 def test_alignments_are_what_they_say():
     rng = random.Random(2)
     for _ in range(60):
