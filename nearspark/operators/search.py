@@ -303,3 +303,55 @@ def search_ranges(texts: DataFrame, patterns: Patterns, options: SearchOptions,
         part = _input(texts, text_col, kept).mapInArrow(ranging(texts.sparkSession.sparkContext.broadcast((first, block))), schema)
         parts = part if parts is None else parts.unionByName(part)
     return texts.sparkSession.createDataFrame([], schema) if parts is None else parts
+
+
+def search_long(texts: DataFrame, patterns: Patterns, options: SearchOptions, text_col: str = "text", keep: Sequence[str] | None = None, chunk: int = 1 << 20, partitions: int | None = None) -> DataFrame:
+    """As ``search``, for texts so long that one should be the work of many tasks.
+
+    Texts are cut into chunks of ``chunk`` bytes with as much text to either
+    side as an alignment can reach, and dealt out anew; a chunk reports the
+    ends (on the strand ``-`` the starts) that lie in it.  Minima, and the
+    best match, are then chosen among a text's ends by windows, which see
+    ends within ``k`` edits only.  In these two cases limits on N and PAMs,
+    which come after the choice, are not supported.
+    """
+    chosen = options.mode == "minima" or options.best_only
+    if chosen and (options.pam is not None or (options.max_n_frac is not None and options.max_n_frac < 1)):
+        raise ValueError("limits on N and PAMs need the mode all, without best_only")
+    blocks = list(pattern_blocks(patterns))
+    longest = max((len(p) for _, block in blocks for _, p in block), default=0)
+    reach = longest + options.k
+    made = [*MATCH.names, "text_row", "chunk_no", "chunk_start", "chunk_size", "text_size", "piece"]
+    kept = _kept(texts, text_col, keep, made)
+    data = F.col(f"`{text_col}`").cast("binary")
+    rows = texts.select(data.alias("piece"), *[F.col(f"`{c}`") for c in kept]).where(F.octet_length("piece") > 0).withColumn("text_row", F.monotonically_increasing_id()).withColumn("text_size", F.octet_length("piece"))
+    numbers = F.explode(F.sequence(F.lit(0), F.ceil(F.col("text_size") / chunk).cast("int") - 1))
+    rows = rows.withColumn("chunk_no", numbers).withColumn("chunk_start", F.greatest(F.lit(0), F.col("chunk_no") * chunk - reach))
+    size = F.least(F.col("text_size"), (F.col("chunk_no") + 1) * chunk + reach) - F.col("chunk_start")
+    rows = rows.withColumn("piece", F.col("piece").substr(F.col("chunk_start") + 1, size)).withColumn("chunk_size", F.octet_length("piece"))
+    rows = rows.repartition(partitions) if partitions else rows.repartition("text_row", "chunk_no")
+    wide = options.with_(mode="all" if options.mode == "minima" else options.mode, best_only=False)
+    found = search(rows, [p for _, block in blocks for p in block], wide, text_col="piece", keep=[*kept, "text_row", "chunk_no", "chunk_start", "chunk_size", "text_size"], prefilter=False)
+    place = lambda c: (F.col(c) + F.col("chunk_start")).cast("int")
+    found = found.withColumns({"text_start": place("text_start"), "text_end": place("text_end")})
+    low, high = F.col("chunk_no") * chunk, (F.col("chunk_no") + 1) * chunk
+    by_end = (F.col("strand") == "+") | F.lit(options.rc_mode == "pattern")
+    ends_here = (F.col("text_end") <= high) & ((F.col("text_end") > low) | (low == 0))
+    last = high >= F.col("text_size")
+    starts_here = (F.col("text_start") >= low) & ((F.col("text_start") < high) | last)
+    found = found.where(F.when(by_end, ends_here).otherwise(starts_here))
+    if chosen:
+        lengths = F.element_at(F.array(*[F.lit(len(p)) for _, block in blocks for _, p in block]), F.col("pattern_idx") + 1)
+        end = F.when(by_end, F.col("text_end")).otherwise(F.col("text_size") - F.col("text_start")) + lengths - F.col("pattern_end")
+        found = found.withColumn("search_end", end)
+        order = Window.partitionBy("text_row", "pattern_idx", "strand").orderBy("search_end")
+        if options.mode == "minima":
+            after = F.lag("search_end").over(order) == F.col("search_end") - 1
+            step = F.when(after, F.signum(F.col("cost") - F.lag("cost").over(order))).otherwise(F.lit(-1.0))
+            rises = F.when(F.lead("search_end").over(order) == F.col("search_end") + 1, F.lead("cost").over(order) > F.col("cost")).otherwise(True)
+            found = found.withColumns({"__step__": F.when(step != 0, step), "__rises__": rises})
+            found = found.withColumn("__way__", F.last("__step__", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__rises__ and __way__ < 0")
+        if options.best_only:
+            best = Window.partitionBy("text_row", "pattern_idx", "strand").orderBy("cost", F.desc("search_end"))
+            found = found.withColumn("__n__", F.row_number().over(best)).where("__n__ = 1")
+    return found.select(*[F.col(f"`{c}`") for c in kept], *MATCH.names)

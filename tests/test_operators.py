@@ -47,6 +47,17 @@ def test_search_equals_single_searches(spark, sample, options):
     assert sorted(map(tuple, found)) == expected(patterns, texts, options)
 
 
+@pytest.mark.parametrize("options", [DNA, DNA.with_(mode="all"), DNA.with_(best_only=True), DNA.with_(rc_mode="pattern", k=4), SearchOptions(alphabet="iupac", k=3, rc=True, alpha=0.5)])
+def test_long_texts_in_chunks(spark, sample, options):
+    patterns, texts = sample
+    texts = [*texts[:12], "A" * 500, "".join(texts)[:3000]]
+    patterns = [*patterns[:2], "AAAAAAAA"]
+    found = S.search_long(frame(spark, texts), patterns, options, text_col="seq", keep=["id"], chunk=64).select("id", "pattern_idx", *MATCH).collect()
+    assert sorted(map(tuple, found)) == expected(patterns, texts, options)
+    with pytest.raises(ValueError):
+        S.search_long(frame(spark, texts), patterns, DNA.with_(max_n_frac=0.1), text_col="seq")
+
+
 def test_untraced_and_modes(spark, sample):
     patterns, texts = sample
     table = frame(spark, texts)
