@@ -11,8 +11,8 @@ from nearspark.llm import decontaminate, minhash, mixing, pii, quality
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    machine = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, machine).where("predicted = 1").select(*docs.columns)
+    machine = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata=["n_chars"])
+    return quality.score_quality(docs, machine, metadata=["n_chars"]).where("predicted = 1").select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

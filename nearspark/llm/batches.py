@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text handed to a per-slice function at once (one text at least).
@@ -35,16 +35,18 @@ def map_texts(
     df: DataFrame,
     text_col: str,
     fields: Sequence[T.StructField],
-    make: Callable[[], Callable[[pa.Array], list]],
+    make: Callable[[], Callable[..., list]],
     keep: Sequence[str] | None = None,
     max_bytes: int = SLICE_BYTES,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Columns ``keep`` (default: all) followed by ``fields``.
 
     ``make`` is called once for each task and returns a function from a string
     array without nulls to one Arrow array (or list) for each field.  A null
-    text is handed over as the empty text.  A kept column whose name is that
-    of a field is replaced by the field.
+    text is handed over as the empty text.  The function also gets the arrays
+    of the columns ``extra``, which are not kept.  A kept column whose name is
+    that of a field is replaced by the field.
     """
     names = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -52,15 +54,17 @@ def map_texts(
     schema = T.StructType([by_name[c] for c in kept] + list(fields))
     out = to_arrow_schema(schema)
     source = "__text__"
-    rows = df.select(F.col(f"`{text_col}`").cast("string").alias(source), *[F.col(f"`{c}`") for c in kept])
+    beside = [c.alias(f"__extra_{i}__") for i, c in enumerate(extra)]
+    rows = df.select(F.col(f"`{text_col}`").cast("string").alias(source), *beside, *[F.col(f"`{c}`") for c in kept])
+    n_extra = len(beside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
             for a, b in slices(texts, max_bytes):
-                cols = fn(texts.slice(a, b - a))
+                cols = fn(texts.slice(a, b - a), *[c.slice(a, b - a) for c in batch.columns[1 : 1 + n_extra]])
                 made = [x if isinstance(x, pa.Array) else pa.array(x, type=out.field(len(kept) + i).type) for i, x in enumerate(cols)]
-                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[1:]] + made, schema=out)
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[1 + n_extra :]] + made, schema=out)
 
     return rows.mapInArrow(run, schema)

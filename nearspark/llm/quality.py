@@ -11,6 +11,7 @@ linear in the number of features.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,8 +48,8 @@ class Features:
     stats: np.ndarray
 
 
-def featurise(texts: pa.Array, bits: int = BUCKET_BITS) -> Features:
-    """Hashed word features and raw structure statistics of each text."""
+def featurise(texts: pa.Array, *metadata: pa.Array, bits: int = BUCKET_BITS) -> Features:
+    """Hashed word features and raw structure statistics of each text, then its metadata."""
     data, offsets = tx.utf8(texts)
     n = len(offsets) - 1
     found = tx.words(tx.lowered(data), offsets, tx.NON_BLANK)
@@ -94,6 +95,8 @@ def featurise(texts: pa.Array, bits: int = BUCKET_BITS) -> Features:
         kinds = np.bincount(owner[inside[kept]], minlength=n)
         stats[:, at + 7] = 1 - kinds / np.maximum(np.bincount(owner[inside], minlength=n), 1)
     stats[:, at + 8] = np.bincount(owner, lengths > 20, n) / n_words
+    if metadata:
+        stats = np.concatenate([stats, np.stack([np.asarray(m, np.float64) for m in metadata], axis=1)], axis=1)
     return Features(first, (keys & ((1 << bits) - 1)).astype(np.int32), value.astype(np.float32), stats.astype(np.float32))
 
 
@@ -138,10 +141,10 @@ class Machine:
 def fit(x: Features, y: np.ndarray, bits: int = BUCKET_BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.05, decay: float = 1e-4, batch: int = 64) -> Machine:
     """Minimises the mean logistic loss by AdaGrad over mini-batches."""
     rng = np.random.default_rng(seed)
-    buckets, n = 1 << bits, len(y)
-    mean, scale = (x.stats.mean(axis=0), x.stats.std(axis=0) + 1e-6) if n else (np.zeros(N_STATS), np.ones(N_STATS))
-    v = rng.normal(0, 0.01, (buckets + N_STATS, factors))
-    machine = Machine(bits, 0.0, np.zeros(buckets + N_STATS), v, mean, scale)
+    buckets, n, n_stats = 1 << bits, len(y), x.stats.shape[1]
+    mean, scale = (x.stats.mean(axis=0), x.stats.std(axis=0) + 1e-6) if n else (np.zeros(n_stats), np.ones(n_stats))
+    v = rng.normal(0, 0.01, (buckets + n_stats, factors))
+    machine = Machine(bits, 0.0, np.zeros(buckets + n_stats), v, mean, scale)
     if n == 0 or y.min() == y.max():
         machine.bias = 3.0 * (2 * float(y[0]) - 1) if n else 0.0
         machine.factors[:] = 0
@@ -149,7 +152,7 @@ def fit(x: Features, y: np.ndarray, bits: int = BUCKET_BITS, factors: int = FACT
     rate_of = float(y.mean())
     machine.bias = float(np.log(rate_of / (1 - rate_of)))
     dense = machine.dense(x.stats)
-    stat_ids = np.arange(buckets, buckets + N_STATS)
+    stat_ids = np.arange(buckets, buckets + n_stats)
     seen_w, seen_v = np.full(len(v), 1e-8), np.full(v.shape, 1e-8)
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -159,7 +162,7 @@ def fit(x: Features, y: np.ndarray, bits: int = BUCKET_BITS, factors: int = FACT
             entries = np.concatenate(spans)
             ids = np.concatenate([x.index[entries], np.tile(stat_ids, len(rows))])
             vals = np.concatenate([x.value[entries], dense[rows].ravel()]).astype(np.float64)
-            owner = np.concatenate([np.repeat(np.arange(len(rows)), [len(s) for s in spans]), np.repeat(np.arange(len(rows)), N_STATS)])
+            owner = np.concatenate([np.repeat(np.arange(len(rows)), [len(s) for s in spans]), np.repeat(np.arange(len(rows)), n_stats)])
             vx = v[ids] * vals[:, None]
             sums = np.stack([np.bincount(owner, vx[:, f], len(rows)) for f in range(factors)], axis=1)
             z = machine.bias + np.bincount(owner, machine.weights[ids] * vals, len(rows)) + 0.5 * (sums**2).sum(axis=1) - 0.5 * np.bincount(owner, (vx**2).sum(axis=1), len(rows))
@@ -181,7 +184,14 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bits: int = BUCKET_BITS) -> Machine:
+def _metadata(columns: Sequence[str]) -> list[Column]:
+    """Numbers as the model takes them: signed logarithms, 0 for null and not finite."""
+    plain = [F.col(f"`{c}`").cast("double") for c in columns]
+    finite = [F.when(F.abs(c) < float("inf"), c).otherwise(0.0) for c in plain]
+    return [F.coalesce(F.signum(c) * F.log1p(F.abs(c)), F.lit(0.0)) for c in finite]
+
+
+def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: Sequence[str] = (), sample: int = SAMPLE, bits: int = BUCKET_BITS) -> Machine:
     """A model of ``label_col`` (0 or 1), fitted on labelled rows that are not held out.
 
     At most ``sample`` labelled ids are used, the first by a hash of the id, so
@@ -189,6 +199,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     labels counts with the majority of them (ties: 1); null labels and ids are
     left out, and so are labels without a document.  Of documents that share
     an id, each is a row.  Without labelled rows the model scores all 0.5.
+    ``metadata`` names numeric columns of the documents that are features too;
+    null counts as 0.
     """
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -197,7 +209,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .orderBy(F.xxhash64("__id__"), "__id__")
         .limit(sample)
     )
-    rows = documents.select(F.col(id_col).alias("__id__"), F.col(text_col).alias("__t__")).join(F.broadcast(ids), "__id__")
+    rows = documents.select(F.col(id_col).alias("__id__"), F.col(text_col).alias("__t__"), *[F.col(f"`{c}`") for c in metadata]).join(F.broadcast(ids), "__id__")
+    n_stats = N_STATS + len(metadata)
     fields = [
         T.StructField("i", T.ArrayType(T.IntegerType())),
         T.StructField("v", T.ArrayType(T.FloatType())),
@@ -205,37 +218,38 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ]
 
     def make():
-        def run(texts: pa.Array) -> list:
-            x = featurise(texts, bits)
+        def run(texts: pa.Array, *beside: pa.Array) -> list:
+            x = featurise(texts, *beside, bits=bits)
             ends = pa.array(x.first, pa.int32())
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x.stats) + 1) * N_STATS, pa.int32()), pa.array(x.stats.ravel()))
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x.stats) + 1) * n_stats, pa.int32()), pa.array(x.stats.ravel()))
             return [pa.ListArray.from_arrays(ends, pa.array(x.index)), pa.ListArray.from_arrays(ends, pa.array(x.value)), stats]
 
         return run
 
-    got = map_texts(rows, "__t__", fields, make, ["__id__", "__y__"]).toArrow().combine_chunks().sort_by("__id__")
+    got = map_texts(rows, "__t__", fields, make, ["__id__", "__y__"], extra=_metadata(metadata)).toArrow().combine_chunks().sort_by("__id__")
     y = got["__y__"].to_numpy()
     if len(y) == 0:
-        return fit(Features(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, N_STATS), np.float32)), y, bits)
+        return fit(Features(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, n_stats), np.float32)), y, bits)
     index, value, stats = (got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c] for c in ("i", "v", "s"))
     first = np.concatenate([[0], np.cumsum(np.asarray(index.value_lengths()))])
-    x = Features(first, np.asarray(index.flatten()), np.asarray(value.flatten()), np.asarray(stats.flatten()).reshape(-1, N_STATS))
+    x = Features(first, np.asarray(index.flatten()), np.asarray(value.flatten()), np.asarray(stats.flatten()).reshape(-1, n_stats))
     return fit(x, y, bits)
 
 
-def score_quality(documents: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+def score_quality(documents: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD, metadata: Sequence[str] = (), keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) with score (0 to 1) and predicted (0 or 1).
 
     Null and empty texts are scored from their (empty) statistics.  Repeated
     rows get equal scores.  Columns named like the results are replaced.
+    ``metadata`` names the columns that the model was fitted with.
     """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def make():
-        def run(texts: pa.Array) -> list:
-            score = shared.value.score(featurise(texts, shared.value.bits))
+        def run(texts: pa.Array, *beside: pa.Array) -> list:
+            score = shared.value.score(featurise(texts, *beside, bits=shared.value.bits))
             return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
         return run
 
-    return map_texts(documents, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, keep)
+    return map_texts(documents, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, keep, extra=_metadata(metadata))

@@ -92,8 +92,8 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    machine = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
-    return quality.score_quality(documents, machine, keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    machine = quality.fit_quality(documents, table(spark, sf_dir, "labels"), metadata=["n_chars"])
+    return quality.score_quality(documents, machine, metadata=["n_chars"], keep=["doc_id"]).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op10_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

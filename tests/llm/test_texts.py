@@ -192,6 +192,9 @@ def test_quality(spark):
     truth = {i: y for i, _, y in rows}
     held = [r for r in found if r.held and r.doc_id in truth]
     assert len(held) > 50 and all(r.predicted == truth[r.doc_id] for r in held)
+    beside = documents.withColumn("size", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    more = quality.score_quality(beside, quality.fit_quality(beside, labels, metadata=["size"]), metadata=["size"])
+    assert more.count() == 453 and more.where("score < 0 or score > 1").isEmpty()
     nothing = quality.fit_quality(documents, labels.limit(0))
     assert {r.score for r in quality.score_quality(documents, nothing).collect()} == {0.5}
 
