@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from nearspark.llm.shared import cut
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(row)
+#: Edges of a partition, about: rounds over few edges use few partitions.
+EDGES = 20_000
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
@@ -19,6 +18,12 @@ def _to_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the least node reachable.
 
@@ -31,14 +36,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     result is empty.
     """
     now = cut(edges.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before, after = None, _signature(now)
-    while after != before and after[0]:
+    while not _is_star_forest(now):
+        parts = -(-now.count() // EDGES)
+        now = now.coalesce(parts)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        far = _to_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        far = _to_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).coalesce(parts).distinct().coalesce(parts)
         near = _to_least(far)
         near = near.select("u", F.col("least").alias("v")).union(near.where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v")))
-        now = cut(near.distinct())
-        before, after = after, _signature(now)
+        now = cut(near.coalesce(parts).distinct().coalesce(parts))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

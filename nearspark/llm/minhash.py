@@ -30,6 +30,8 @@ from nearspark.llm.shared import cut, shuffle_partitions
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Two sets of similarity 0.8 share none of 48 bands of 6 with probability 5e-7.
+#: A coordinate is kept as one byte, so others agree by chance once in 256 times,
+#: which makes candidates, never links.
 BANDS, ROWS = 48, 6
 #: Shards for each shuffle partition.
 SHARDS = 4
@@ -95,7 +97,7 @@ def _sketches(words: int, size: int):
             np.cumsum(one, out=sums[0, 1:])
             np.cumsum(two, out=sums[1, 1:])
             ids = np.ascontiguousarray((sums[:, first[1:]] - sums[:, first[:-1]]).T).astype(">u8")
-            coords = tx.mix(sketch(first, hashes, size)).astype("<u2")
+            coords = tx.mix(sketch(first, hashes, size)).astype("u1")
             some = counts > 0
             return [[ids[i].tobytes() if some[i] else None for i in range(len(counts))], pa.array(counts), [coords[i].tobytes() if some[i] else None for i in range(len(counts))]]
 
@@ -137,7 +139,7 @@ def _deal(bands: int, shards: int):
             if not batch.num_rows:
                 continue
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), _ID)
-            coords = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), -1)
+            coords = np.frombuffer(b"".join(batch.column(1).to_pylist()), "u1").reshape(len(ids), -1)
             keys = band_keys(coords, bands).ravel()
             keys, least, left, right = _stars(keys, np.repeat(ids, bands))
             shard, pair_shard = (keys % np.uint64(shards)).astype(np.int64), (left["l"].astype(np.uint64) % np.uint64(shards)).astype(np.int64)
@@ -205,7 +207,7 @@ def _bands_of(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                coords = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                coords = np.frombuffer(b"".join(batch.column(2).to_pylist()), "u1").reshape(batch.num_rows, -1)
                 keys = band_keys(coords, bands).view(np.int64).ravel()
                 ends = pa.array(np.arange(batch.num_rows + 1) * bands, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys))], names=fields.names)
@@ -337,7 +339,7 @@ def _near(least: float):
     """Which sketches agree in a share of ``least`` at least."""
 
     def compare(payload: pa.Array, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        rows = lambda at: np.frombuffer(b"".join(payload.take(pa.array(at)).to_pylist()), "<u2").reshape(len(at), -1)
+        rows = lambda at: np.frombuffer(b"".join(payload.take(pa.array(at)).to_pylist()), "u1").reshape(len(at), -1)
         left, right = rows(one), rows(two)
         return np.stack([(right == x).sum(axis=1) >= least * right.shape[1] for x in left])
 
