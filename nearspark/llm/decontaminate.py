@@ -243,6 +243,6 @@ def _pass(tests, window: int, again: bool, last: bool, n_kept: int, schema: T.St
     return run
 
 
-def contaminated(share: float = 0.05) -> Column:
-    """Whether at least ``share`` of the words, and one at least, are hit."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share))
+def contaminated(one_in: int = 20) -> Column:
+    """Whether a word is hit, and at least one in ``one_in`` words are."""
+    return (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))

@@ -106,8 +106,6 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(headers.where(is_revisit).join(sizes, "sha256").select(F.concat("headers", end).alias("record"), "sha256", "payload_bytes"))
 
 
-_NUMBER = re.compile(rb"[0-9]+")
-
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """The named fields and the block of the record at ``at``, and where the next one begins."""
