@@ -386,6 +386,10 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat its id and text stay once.  Rows with a null id are kept
     only if nothing with an id is in their class.
     """
-    kept = find_duplicates(documents, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept__")).distinct()
-    rows = documents.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept__")), "left_semi")
-    return rows.withColumn("__text__", F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))).dropDuplicates([id_col, "__text__"]).drop("__text__")
+    found = find_duplicates(documents, id_col, text_col, **options).where("kept")
+    kept = cut(found.groupBy(F.col(id_col).alias("__kept__")).agg(F.count("*").alias("__rows__")))
+    rows = documents.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept__")))
+    text = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
+    several = rows.where("__rows__ > 1").withColumn("__text__", text).dropDuplicates([id_col, "__text__"])
+    # both parts read one exchange of the documents; where no id is repeated, the second is empty
+    return rows.where("__rows__ = 1").select(*documents.columns).union(several.select(*documents.columns))
