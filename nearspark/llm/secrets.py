@@ -33,7 +33,7 @@ _STRING = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _NUMBER = re.compile(r"[0-9_+/=-]+")
-_WORDS = re.compile(r"[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+))*[_/=+-]*[0-9]{0,4}")
+_WORDS = re.compile(r"[_/=+-]*[A-Za-z][A-Za-z_/=+-]*[0-9]{0,4}")
 
 
 @functools.cache

@@ -144,6 +144,16 @@ def test_linear_time():
     assert time.time() - began < 20
 
 
+def test_linear_time_of_random_spans():
+    import time
+
+    encode = secrets._encoder(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    began = time.time()
+    for text in ("com/understanding-machine-2024/x", "a" * 200_000 + "-2024/x", "ab" * 50_000 + "2024ab" * 1000, "a-B" * 50_000 + "12345", "Ab" * 50_000 + "1" * 50_000 + "_"):
+        secrets.random_spans(text, encode, [])
+    assert time.time() - began < 20
+
+
 def plain_contamination(text, items, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     doc = words(text)
