@@ -4,7 +4,11 @@ A vocabulary learnt from prose needs few tokens for words and identifiers but
 about one for every two characters of a random key.  Strings of
 ``MIN_LENGTH`` characters or more whose characters-per-token ratio is at most
 ``max_ratio`` are reported, unless they are digests (hexadecimal strings of a
-digest's length), UUIDs, plain numbers, or identifiers made of words.
+digest's length), UUIDs, plain numbers, or identifiers made of words.  Such an
+identifier is letters and signs with at most four digits at its end, and each
+of its parts (between signs, and from a capital to the next in camelCase) has
+a ratio above ``max_ratio`` of its own or is one token of two small letters;
+other strings of letters are judged like any string.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _NUMBER = re.compile(r"[0-9_+/=-]+")
 _WORDS = re.compile(r"[_/=+-]*[A-Za-z][A-Za-z_/=+-]*[0-9]{0,4}")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @functools.cache
@@ -56,6 +61,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def of_words(s: str, encode, max_ratio: float = MAX_RATIO) -> bool:
+    """Whether the string is an identifier whose parts all are words to the tokenizer."""
+    if not _WORDS.fullmatch(s):
+        return False
+    sizes = ((part, len(encode(part))) for part in _PART.findall(s))
+    return all(len(part) > max_ratio * n or (n == 1 and len(part) == 2 and part.islower()) for part, n in sizes)
+
+
 def random_spans(text: str, encode, taken: list[tuple[int, int, str]], max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     """Costly strings that touch none of the spans ``taken``."""
     found = []
@@ -67,9 +80,9 @@ def random_spans(text: str, encode, taken: list[tuple[int, int, str]], max_ratio
             at += 1
         if any(t[0] < b and t[1] > a for t in taken[at : at + 4]):
             continue
-        if _NUMBER.fullmatch(s) or _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _WORDS.fullmatch(s):
+        if _NUMBER.fullmatch(s) or _DIGEST.fullmatch(s) or _UUID.fullmatch(s):
             continue
-        if len(set(s)) > 4 and len(s) <= max_ratio * len(encode(s)):
+        if len(set(s)) > 4 and len(s) <= max_ratio * len(encode(s)) and not of_words(s, encode, max_ratio):
             found.append((a, b, "random"))
     return found
 

@@ -91,6 +91,19 @@ def test_secrets(spark):
     assert all(found[i] == [] for i in (2, 3, 4, 5)) and found[8] == [(0, 60, "hex")] and found[7] == plain_secrets(SECRETS[0])
 
 
+def test_secrets_of_letters():
+    encode = secrets._encoder(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    found = lambda s: [x[:2] for x in secrets.random_spans(f"use {s} here", encode, [])]
+    rng = np.random.default_rng(4)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choice(list(letters), n)) for n in (20, 32, 64) for _ in range(100)]
+        assert sum(found(key) == [(4, 4 + len(key))] for key in keys) >= 295
+    for key in ("xKqPzRtWvNmLkJhGfDsAqZpYbXc", "QZXKVJWPFMHTRBGLCYNDSQZX", "xKqPzRtWvNmLkJhGfDsA/pYbX+c="):
+        assert found(key) == [(4, 4 + len(key))]
+    for word in ("getHttpResponseCodeForRequest", "CONFIGURATION_SETTINGS_FOR_APPLICATION", "get_or_set_is_on_by_id", "com/understanding-machine-learning-2024"):
+        assert found(word) == []
+
+
 def plain_pii(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
 
