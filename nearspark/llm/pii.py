@@ -102,7 +102,16 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IBAN.finditer(text) if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s)]
+    """From each start, the longest confirmed end among those at blanks; after a failure, from the next start."""
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        while end > start and not (15 <= len(s := text[start:end].replace(" ", "")) <= 34 and mod97(s)):
+            end = text.rfind(" ", start, end)
+        if end > start:
+            found.append((start, end))
+        at = max(end, start + 1)
+    return found
 
 
 def ssns(text: str) -> list[tuple[int, int]]:

@@ -147,6 +147,19 @@ def test_pii(spark):
     assert redacted.where("doc_id = 2").first().text is None
 
 
+def test_ibans_beside_words():
+    iban, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for after in ("", ".", " bank", " BIC COBADEFFXXX", " 2024", " IN full", " BIC COBADEFFXXX " * 3):
+        for number in (iban, spaced):
+            assert pii.ibans(f"to {number}{after}") == [(3, 3 + len(number))]
+            text = f"IBAN {number}{after}"
+            assert pii.redact(text, pii.find_spans(text)) == f"IBAN [IBAN]{after}"
+    assert pii.ibans(f"{iban} {spaced}") == [(0, 22), (23, 50)]
+    assert pii.ibans(f"ID12 {iban} 7") == [(5, 27)]
+    assert pii.ibans("DE89370400440532013001 BIC COBADEFFXXX") == [] and pii.ibans(iban + "X 2024") == []
+    assert pii.ibans("AB12 " * 40_000) == []
+
+
 def test_linear_time():
     import time
 
