@@ -75,11 +75,20 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "text_end", "cost")
 
 
+def best_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.search_best(reads(spark, sf_dir), [BARCODE], _dna(BARCODE_K, trace=False), text_col="seq", keep=["doc_id"])
+    return found.select("doc_id", "text_end", "cost")
+
+
 def cost_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.search(reads(spark, sf_dir, "conversations", "conv_id"), [PATTERN], _dna(trace=False), text_col="seq", keep=[])
     return R.histogram(found, K)
 
 
+def cost_histogram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.histogram(search_minima(spark, sf_dir), K)
+
+
 def filter_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.filter_records(reads(spark, sf_dir), [PATTERN], _dna(1), text_col="seq").select("doc_id")
 
@@ -103,6 +112,11 @@ def crispr_off_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id", "strand", F.when(F.col("strand") == "+", F.col("text_end")).otherwise(F.col("text_start")).alias("place"), "cost").agg(F.count("*").alias("n"))
 
 
+def crispr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crispr(reads(spark, sf_dir), [GUIDE], GUIDE_K, 0.2, keep=["doc_id"])
+    return found.groupBy("doc_id", "strand", F.when(F.col("strand") == "+", F.col("text_end")).otherwise(F.col("text_start")).alias("place"), "cost").agg(F.count("*").alias("n"))
+
+
 def all_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), bases(F.translate("n_name", "0123456789_", "bdfhjlnprtv"), BASES).alias("seq"))
     return R.all_vs_all(names, _dna(2))
@@ -130,25 +144,25 @@ def n_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_overhang(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = SearchOptions(alphabet="iupac", k=3, rc=True, alpha=0.5, max_overhang=6)
-    found = S.search(reads(spark, sf_dir, "benchmark", "item_id"), [BARCODE], options, text_col="seq", keep=["item_id"])
+    found = S.search(reads(spark, sf_dir), [BARCODE], options, text_col="seq", keep=["doc_id"])
     return found.drop("pattern_idx", "pattern_id")
 
 
 def search_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.search_all_alignments(reads(spark, sf_dir, "benchmark", "item_id"), [PATTERN], _dna(rc=True), text_col="seq", keep=["item_id"])
-    return found.select("item_id", "strand", "anchor", "text_start", "text_end", "cost", "cigar")
+    found = S.search_all_alignments(reads(spark, sf_dir), [PATTERN], _dna(rc=True), text_col="seq", keep=["doc_id"])
+    return found.select("doc_id", "strand", "anchor", "text_start", "text_end", "cost", "cigar")
 
 
 def search_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = [("a", PATTERN), ("b", PATTERN[::-1])]
-    found = S.search_encoded(reads(spark, sf_dir, "benchmark", "item_id"), patterns, _dna(rc=True), text_col="seq", keep=["item_id"])
+    found = S.search_encoded(reads(spark, sf_dir), patterns, _dna(rc=True), text_col="seq", keep=["doc_id"])
     return found.drop("pattern_idx")
 
 
 def end_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends that are followed by the letter G in the searched text."""
     follows = F.col("search_text").substr(F.col("search_end") + 1, F.lit(1)) == F.lit(b"G")
-    found = S.search_where(reads(spark, sf_dir, "benchmark", "item_id"), [PATTERN], _dna(rc=True), follows, text_col="seq", keep=["item_id"])
+    found = S.search_where(reads(spark, sf_dir), [PATTERN], _dna(rc=True), follows, text_col="seq", keep=["doc_id"])
     return found.drop("pattern_idx", "pattern_id")
 
 
@@ -163,9 +177,9 @@ def pretty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.search(reads(spark, sf_dir, "benchmark", "item_id"), [PATTERN], _dna(rc=True), text_col="seq", keep=["item_id"])
+    found = S.search(reads(spark, sf_dir), [PATTERN], _dna(rc=True), text_col="seq", keep=["doc_id"])
     path = C.alignment_path()
-    return found.select("item_id", "strand", "text_start", F.to_json(path).alias("path"), C.net_insertions("cigar").alias("net_insertions"), C.reverse_cigar("cigar").alias("reverse_cigar"))
+    return found.select("doc_id", "strand", "text_start", F.to_json(path).alias("path"), C.net_insertions("cigar").alias("net_insertions"), C.reverse_cigar("cigar").alias("reverse_cigar"))
 
 
 def _event_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         search_minima, search_all_ends, search_trace, search_many, search_ignore_case, best_match, cost_histogram, filter_matching, filter_unmatched,
         search_ranges, search_rc, crispr_off_targets, all_vs_all, sequence_functions, n_limited, search_overhang, search_alignments, search_encoded,
-        end_predicate, sam_table, pretty_lines, alignment_paths, window_minima, window_islands,
+        end_predicate, sam_table, pretty_lines, alignment_paths, window_minima, window_islands, best_match_documents, cost_histogram_documents, crispr_documents,
     )
 }
 
