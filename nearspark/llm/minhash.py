@@ -226,9 +226,21 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     is the row's own.  Repeated rows get equal results; a null id is reachable
     but never the least unless all are null; an empty table gives an empty one.
     """
+    found = _decided(documents, id_col, text_col, words, similarity, bands, rows)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: a digest of id and text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), text).cast("binary")))
+
+
+def _decided(documents: DataFrame, id_col: str, text_col: str, words: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, key, n_shingles, component_id, kept) for each row."""
     spark = documents.sparkSession
     text: Column = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key: Column = F.unhex(F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), text).cast("binary")))
+    key = _key(id_col, text_col)
     source = documents.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), text.alias("text"))
     made = cut(map_texts(source, "text", _SKETCH, _sketches(words, bands * rows), ["id", "key"]))
     sets = made.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least_id"), F.min("key").alias("key"), F.max("sketch").alias("sketch"))
@@ -257,9 +269,9 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("class"))
     least = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
     member = classes.join(least, "class").select("set_id", "component_id")
-    out = made.select("id", "n_shingles", "set_id").join(member, "set_id", "left")
+    out = made.select("id", "key", "n_shingles", "set_id").join(member, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "key", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 #: Sets of a block; a task compares two blocks.
@@ -384,12 +396,13 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """All columns of one row of each class of near-duplicates: that of the least id.
 
     Rows that repeat its id and text stay once.  Rows with a null id are kept
-    only if nothing with an id is in their class.
+    only if nothing with an id is in their class.  Rows of one id with
+    different texts are kept or not each by its own class.
     """
-    found = find_duplicates(documents, id_col, text_col, **options).where("kept")
-    kept = cut(found.groupBy(F.col(id_col).alias("__kept__")).agg(F.count("*").alias("__rows__")))
-    rows = documents.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept__")))
-    text = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
-    several = rows.where("__rows__ > 1").withColumn("__text__", text).dropDuplicates([id_col, "__text__"])
-    # both parts read one exchange of the documents; where no id is repeated, the second is empty
+    found = _decided(documents, id_col, text_col, **options).where("kept")
+    kept = cut(found.groupBy(F.col("id").alias("__kept__"), F.col("key").alias("__kept_key__")).agg(F.count("*").alias("__rows__")))
+    keyed = documents.withColumn("__key__", _key(id_col, text_col))
+    rows = keyed.join(kept, (F.col("__key__") == F.col("__kept_key__")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__kept__")))
+    several = rows.where("__rows__ > 1").dropDuplicates([id_col, "__key__"])
+    # both parts read one exchange of the documents; where no row is repeated, the second is empty
     return rows.where("__rows__ = 1").select(*documents.columns).union(several.select(*documents.columns))

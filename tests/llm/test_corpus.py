@@ -104,6 +104,13 @@ def test_near_duplicates(spark, monkeypatch, block):
         assert minhash.find_duplicates(table.limit(0)).isEmpty()
 
 
+def test_rows_of_one_id_are_kept_each_by_its_class(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    rows = [(None, one), (7, one), (None, two), (5, three), (5, two + " x"), (3, two + " x"), (5, three), (None, three), (9, None), (9, "")]
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(7, one), (0, two), (5, three), (3, two + " x"), (9, "")])
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     one = rng.integers(0, 2**64, 1000, dtype=np.uint64)
