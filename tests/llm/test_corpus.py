@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearspark.llm import covertree, minhash, mixing, queries, suffix_dedup, warc
+from nearspark.llm import covertree, minhash, mixing, queries, shared, suffix_dedup, warc
 from nearspark.llm.components import bipartite_classes, connected_components
 
 WORDS = [f"w{i:03d}" for i in range(400)]
@@ -314,6 +314,27 @@ def test_pipeline(spark, tmp_path):
     assert duckdb and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_writes_its_stages(spark, monkeypatch):
+    read = []
+
+    def stage(number):
+        def run(_, docs, sf_dir):
+            read.append(sorted(docs.inputFiles()))
+            return docs.where(f"doc_id % 7 <> {number}")
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"stage{i}", stage(i)) for i in range(5)])
+    sf = "/root/testdata/sf0.001"
+    found = corpus_pipeline.run(spark, sf)
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in documents.where("doc_id % 7 > 4").collect())
+    assert read[0] == sorted(documents.inputFiles())
+    folder = shared.checkpoint_dir(spark).removeprefix("file:").lstrip("/")
+    for i in range(1, 5):
+        assert read[i] and all(folder in f and f"/stage{i - 1}-" in f for f in read[i])
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
