@@ -18,8 +18,9 @@ merged.  The scan marks
 The windows of open suffixes, and of one witness for each kind of surroundings
 that they were compared with, go through a second family, in which a suffix is
 ordered by the fingerprint of its first ``length`` bytes.  Both phases deal
-fingerprints, never groups: what is frequent is one entry for each batch, as
-equal entries of a batch are sent once.
+fingerprints, never groups.  Every entry is sent, equal ones too; the receiving
+shard merges those of a batch before they are indexed, so a passage that is
+frequent costs the one shard an entry in memory for each occurrence.
 """
 
 from __future__ import annotations
