@@ -8,43 +8,43 @@ from pyspark.sql import DataFrame, functions as F
 from nearspark.llm.shared import cut
 
 
-#: Edges of a partition, about: rounds over few edges use few partitions.
-EDGES = 20_000
-
-
-def _to_least(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with least: the least neighbour of u, or u itself."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-    return pairs.join(least, "u")
-
-
-def _is_star_forest(edges: DataFrame) -> bool:
-    """Whether every u has one v, and no v is a u."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v); root is the least node reachable.
-
-    Rounds of two steps: every node's larger neighbours are linked to the
-    least node it sees, then its smaller ones are.  Each step is a grouped
-    minimum and an equi-join, so a node with very many neighbours is no single
-    task.  Rounds are written to the shared folder; their number grows with
-    the logarithm of the graph's diameter.  Loops, repeated and reversed edges
-    and edges with a null end are allowed and add nothing; without edges the
-    result is empty.
+    """(node, root) for every node of the edges (u, v); root is a node of its component, the same for all.
+
+    Rounds of contraction: every node points to the first among itself and its
+    neighbours, in an order that is drawn anew by hashing; edges are carried
+    over to the nodes pointed to, loops and repeats go, until no edge is left.
+    The pointers of all rounds are followed.  A round is expected to leave a
+    constant share of the nodes, so the number of rounds grows with the
+    logarithm of the largest component's size.  The first neighbour is found
+    before the shuffle too, and edges meet pointers in equi-joins whose skewed
+    partitions Spark splits, so a node with very many neighbours is no single
+    task.  Each round is written to the shared folder.
+
+    Loops, repeated and reversed edges and edges with a null end are allowed
+    and add nothing; without edges the result is empty.
     """
-    now = cut(edges.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not _is_star_forest(now):
-        parts = -(-now.count() // EDGES)
-        now = now.coalesce(parts)
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        far = _to_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v")).coalesce(parts).distinct().coalesce(parts)
-        near = _to_least(far)
-        near = near.select("u", F.col("least").alias("v")).union(near.where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v")))
-        now = cut(near.coalesce(parts).distinct().coalesce(parts))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    now = cut(_simple(edges.select("u", "v")))
+    roots, turn = None, 0
+    while now.count():
+        turn += 1
+        both = now.union(now.select("v", "u"))
+        placed = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("place"), F.col(c).alias("node"))
+        to = cut(both.groupBy("u").agg(F.min(placed("v")).alias("first")).select("u", F.least(placed("u"), "first")["node"].alias("to")))
+        roots = to.select(F.col("u").alias("node"), F.col("to").alias("root")) if roots is None else _followed(roots, to)
+        now = now.join(to, "u").select(F.col("to").alias("a"), F.col("v").alias("u")).join(to, "u").select(F.col("a").alias("u"), F.col("to").alias("v"))
+        now = cut(_simple(now))
+    return now.toDF("node", "root") if roots is None else roots
+
+
+def _simple(edges: DataFrame) -> DataFrame:
+    """Each edge once, the greater end first, without loops and nulls."""
+    return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _followed(roots: DataFrame, to: DataFrame) -> DataFrame:
+    """Roots replaced by what they point to; those that point nowhere stay."""
+    return roots.join(to, roots["root"] == to["u"], "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
 def bipartite_classes(link: np.ndarray) -> np.ndarray:

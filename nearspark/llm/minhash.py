@@ -33,8 +33,9 @@ SIMILARITY = 0.8
 #: A coordinate is kept as one byte, so others agree by chance once in 256 times,
 #: which makes candidates, never links.
 BANDS, ROWS = 48, 6
-#: Shards for each shuffle partition.
-SHARDS = 4
+#: Shards of band keys: so many for each shuffle partition, and more where a shard
+#: would stand for more than ``SHARD_SETS`` sets (1.2 kB each).
+SHARDS, SHARD_SETS = 4, 50_000
 _FILLED_BY = np.random.default_rng(11).integers(1, 2**64, 4096, dtype=np.uint64)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -132,7 +133,7 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _deal(bands: int, shards: int):
-    """(set_id, sketch) to shards of band keys, those of a batch stars already."""
+    """(node, sketch) to shards of band keys, those of a batch stars already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +203,7 @@ def _ranges(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]
 
 
 def _bands_of(bands: int):
-    fields = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    fields = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,35 +244,30 @@ def _decided(documents: DataFrame, id_col: str, text_col: str, words: int = SHIN
     key = _key(id_col, text_col)
     source = documents.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), text.alias("text"))
     made = cut(map_texts(source, "text", _SKETCH, _sketches(words, bands * rows), ["id", "key"]))
-    sets = made.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least_id"), F.min("key").alias("key"), F.max("sketch").alias("sketch"))
+    # a set goes by the key of one of its rows, so that texts are fetched without a detour
+    sets = made.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("least_id"), F.min("key").alias("node"), F.max("sketch").alias("sketch"))
     sets = cut(sets)
+    shards = max(SHARDS * shuffle_partitions(spark), -(-sets.count() // SHARD_SETS))
 
-    shards = SHARDS * shuffle_partitions(spark)
-    pairs = sets.select("set_id", "sketch").mapInArrow(_deal(bands, shards), _DEALT).groupBy("shard").applyInArrow(_gather, _PAIR)
+    pairs = sets.select("node", "sketch").mapInArrow(_deal(bands, shards), _DEALT).groupBy("shard").applyInArrow(_gather, _PAIR)
     pairs = cut(pairs.distinct())
-    reps = sets.select("set_id", "key")
     texts = source.select("key", "text")
-
-    def confirmed(candidates: DataFrame) -> DataFrame:
-        """Of (a, b) those that are linked: the texts of representatives are fetched."""
-        one = candidates.join(reps.select(F.col("set_id").alias("a"), F.col("key").alias("key_a")), "a").join(reps.select(F.col("set_id").alias("b"), F.col("key").alias("key_b")), "b")
-        one = one.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
-        two = one.join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-        return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, similarity), _PAIR).distinct()
-
-    links = cut(confirmed(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    links = cut(both.mapInArrow(_confirm(words, similarity), _PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     roots = connected_components(links)
     touching = _touching(sets, pairs, roots, bands, similarity, shards)
-    if not touching.isEmpty():
-        more = _links_between(touching, roots, reps, texts, words, similarity, shards)
-        roots = connected_components(links.union(more))
+    if touching.count():
+        more = cut(_links_between(touching, texts, words, similarity, shards))
+        if more.count():
+            roots = connected_components(links.union(more))
 
-    classes = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("class"))
+    classes = sets.join(roots, "node", "left").select("set_id", "least_id", F.coalesce("root", "node").alias("class"))
     least = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
     member = classes.join(least, "class").select("set_id", "component_id")
-    out = made.select("id", "key", "n_shingles", "set_id").join(member, "set_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "key", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    with_set, without = made.where("n_shingles > 0"), made.where("n_shingles = 0")
+    out = with_set.join(member, "set_id").select("id", "key", "n_shingles", "component_id").union(without.select("id", "key", "n_shingles", "id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 #: Sets of a block; a task compares two blocks.
@@ -283,7 +279,7 @@ _LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.B
 
 
 def _in_blocks(members: DataFrame, group: str, columns: list[str], shards: int) -> DataFrame:
-    """Members (group, set_id, class, columns) dealt to tasks of two blocks of their group.
+    """Members (group, node, class, columns) dealt to tasks of two blocks of their group.
 
     All but the members of a group's largest class (side 0) meet all its
     members (side 1); groups of one class are left out.
@@ -293,12 +289,12 @@ def _in_blocks(members: DataFrame, group: str, columns: list[str], shards: int)
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = mixed.select(group, F.col("main.class").alias("main"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("main.n")).alias("minor_blocks"))
     inside = members.join(sizes, group)
-    block = lambda count: F.pmod(F.xxhash64("set_id"), F.col(count)).cast("int")
+    block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    one = inside.where(F.col("class") != F.col("main")).select(group, block("minor_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "set_id", "class", *columns)
-    two = inside.select(group, every("minor_blocks").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"), "set_id", "class", *columns)
+    one = inside.where(F.col("class") != F.col("main")).select(group, block("minor_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "node", "class", *columns)
+    two = inside.select(group, every("minor_blocks").alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"), "node", "class", *columns)
     dealt = one.unionByName(two).withColumn("task", F.xxhash64(group, "i", "j")).withColumn("shard", F.pmod("task", F.lit(shards)))
-    return dealt.select("shard", "task", "side", "set_id", "class", *columns)
+    return dealt.select("shard", "task", "side", "node", "class", *columns)
 
 
 def _by_task(compare):
@@ -306,7 +302,7 @@ def _by_task(compare):
 
     def run(table: pa.Table) -> pa.Table:
         task, side = table.column("task").to_numpy(), table.column("side").to_numpy()
-        ids = np.frombuffer(b"".join(table.column("set_id").to_pylist()), _ID)
+        ids = np.frombuffer(b"".join(table.column("node").to_pylist()), _ID)
         _, kind = np.unique(np.array(table.column("class").to_pylist(), object), return_inverse=True)
         payload = table.column(table.num_columns - 1).combine_chunks()
         order = np.lexsort((side, task))
@@ -328,23 +324,23 @@ def _by_task(compare):
 
 
 def _touching(sets: DataFrame, pairs: DataFrame, roots: DataFrame, bands: int, similarity: float, shards: int) -> DataFrame:
-    """(set_id, class, cluster) of sets that share a band and a near sketch with a set of another class.
+    """(node, class, cluster) of sets that share a band and a near sketch with a set of another class.
 
     A cluster holds whatever such candidates, or classes, connect.  Only a
     forest that connects them leaves the tasks, not every pair.
     """
     run, fields = _bands_of(bands)
-    seen = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    now = sets.select("set_id", "sketch").join(seen, "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("class"), "sketch")
-    entries = now.mapInArrow(run, fields).select("set_id", "class", F.explode("bands").alias("band"))
+    seen = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    now = cut(sets.select("node", "sketch").join(seen, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), "sketch"))
+    entries = now.mapInArrow(run, fields).select("node", "class", F.explode("bands").alias("band"))
     shared = entries.groupBy("band", "class").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
     # the two sets of a band that holds no others were compared before
-    entries = entries.join(shared.where("classes > 1 and n > 2").select("band"), "band").join(sets.select("set_id", "sketch"), "set_id")
+    entries = cut(entries.join(shared.where("classes > 1 and n > 2").select("band"), "band").join(now.select("node", "sketch"), "node"))
     forest = cut(_in_blocks(entries, "band", ["sketch"], shards).groupBy("shard").applyInArrow(_by_task(_near(similarity - MARGIN)), _LINK).distinct())
-    touched = forest.select(F.col("u").alias("set_id")).union(forest.select("v")).distinct().join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("class"))
+    touched = forest.select(F.col("u").alias("node")).union(forest.select("v")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     touched = cut(touched)
-    clusters = connected_components(forest.union(touched.select("set_id", "class")))
-    return cut(touched.join(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "set_id"))
+    clusters = connected_components(forest.union(touched.select("node", "class")))
+    return cut(touched.join(clusters.select("node", F.col("root").alias("cluster")), "node"))
 
 
 def _near(least: float):
@@ -358,11 +354,11 @@ def _near(least: float):
     return compare
 
 
-def _links_between(touching: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame, words: int, similarity: float, shards: int) -> DataFrame:
+def _links_between(touching: DataFrame, texts: DataFrame, words: int, similarity: float, shards: int) -> DataFrame:
     """Links (u, v) that join classes of a cluster: full sets are compared, block by block."""
-    fetched = touching.join(reps, "set_id").join(texts, "key").select("cluster", "set_id", "class", "text")
+    fetched = touching.join(texts.withColumnRenamed("key", "node"), "node").select("cluster", "node", "class", "text")
     dealt = _in_blocks(fetched, "cluster", ["text"], shards)
-    return cut(dealt.groupBy("shard").applyInArrow(_by_task(_linked(words, similarity)), _LINK).distinct())
+    return dealt.groupBy("shard").applyInArrow(_by_task(_linked(words, similarity)), _LINK).distinct()
 
 
 def _linked(words: int, similarity: float):

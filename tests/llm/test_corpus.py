@@ -35,7 +35,8 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
-    assert found == {x: find(parent, x) for x in linked}
+    assert found.keys() == linked and all(find(parent, x) == find(parent, root) for x, root in found.items())
+    assert len(set(found.values())) == len({find(parent, x) for x in linked})
     assert connected_components(spark.createDataFrame([], "u long, v long")).isEmpty()
     link = np.zeros((4, 3), bool)
     link[1, 0] = link[2, 0] = link[2, 2] = True
