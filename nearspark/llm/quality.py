@@ -11,7 +11,8 @@ linear in the number of features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,7 +196,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """A model of ``label_col`` (0 or 1), fitted on labelled rows that are not held out.
 
     At most ``sample`` labelled ids are used, the first by a hash of the id, so
-    the driver receives a bounded number of sparse rows.  An id with several
+    one task receives a bounded number of sparse rows; the driver receives the
+    model.  An id with several
     labels counts with the majority of them (ties: 1); null labels and ids are
     left out, and so are labels without a document.  Of documents that share
     an id, each is a row.  Without labelled rows the model scores all 0.5.
@@ -226,14 +228,29 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    got = map_texts(rows, "__t__", fields, make, ["__id__", "__y__"], extra=_metadata(metadata)).toArrow().combine_chunks().sort_by("__id__")
-    y = got["__y__"].to_numpy()
-    if len(y) == 0:
-        return fit(Features(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, n_stats), np.float32)), y, bits)
-    index, value, stats = (got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c] for c in ("i", "v", "s"))
-    first = np.concatenate([[0], np.cumsum(np.asarray(index.value_lengths()))])
-    x = Features(first, np.asarray(index.flatten()), np.asarray(value.flatten()), np.asarray(stats.flatten()).reshape(-1, n_stats))
-    return fit(x, y, bits)
+    found = map_texts(rows, "__t__", fields, make, ["__id__", "__y__"], extra=_metadata(metadata))
+    fitted = found.repartition(1).mapInArrow(_fitted(n_stats, bits), "machine binary").collect()
+    return pickle.loads(fitted[0][0]) if fitted else fit(_no_rows(n_stats), np.zeros(0), bits)
+
+
+def _no_rows(n_stats: int) -> Features:
+    return Features(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, n_stats), np.float32))
+
+
+def _fitted(n_stats: int, bits: int):
+    """The rows of the sample to one row, the pickled model; it is fitted on an executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not sum(b.num_rows for b in found):
+            return
+        got = pa.Table.from_batches(found).combine_chunks().sort_by("__id__").combine_chunks()
+        index, value, stats = (got[c].combine_chunks() for c in ("i", "v", "s"))
+        first = np.concatenate([[0], np.cumsum(np.asarray(index.value_lengths()))])
+        x = Features(first, np.asarray(index.flatten()), np.asarray(value.flatten()), np.asarray(stats.flatten()).reshape(-1, n_stats))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, got["__y__"].to_numpy(), bits))], pa.binary())], names=["machine"])
+
+    return run
 
 
 def score_quality(documents: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD, metadata: Sequence[str] = (), keep: list[str] | None = None) -> DataFrame:

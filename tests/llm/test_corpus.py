@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearspark.llm import covertree, minhash, mixing, queries, shared, suffix_dedup, warc
+from nearspark.llm import components, covertree, minhash, mixing, queries, shared, suffix_dedup, warc
 from nearspark.llm.components import bipartite_classes, connected_components
 
 WORDS = [f"w{i:03d}" for i in range(400)]
@@ -25,7 +25,9 @@ def find(parent, x):
     return x
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_a_partition", [10, 100_000])
+def test_components(spark, monkeypatch, in_a_partition):
+    monkeypatch.setattr(components, "EDGES", in_a_partition)
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3)]
     parent = {x: x for e in edges for x in e if x is not None}
@@ -35,8 +37,7 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     linked = {x for a, b in edges if a is not None and a != b for x in (a, b)}
-    assert found.keys() == linked and all(find(parent, x) == find(parent, root) for x, root in found.items())
-    assert len(set(found.values())) == len({find(parent, x) for x in linked})
+    assert found == {x: find(parent, x) for x in linked}
     assert connected_components(spark.createDataFrame([], "u long, v long")).isEmpty()
     link = np.zeros((4, 3), bool)
     link[1, 0] = link[2, 0] = link[2, 2] = True
