@@ -15,6 +15,9 @@ merged.  The scan marks
 * suffixes that share the anchor's prefix with different surroundings: they
   stay open.
 
+The same family holds suffixes of words: their windows are ``passage`` words
+long, and they count only what other documents hold too.
+
 The windows of open suffixes, and of one witness for each kind of surroundings
 that they were compared with, go through a second family, in which a suffix is
 ordered by the fingerprint of its first ``length`` bytes.  Both phases deal
@@ -35,13 +38,18 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nearspark.llm import text as tx
 from nearspark.llm.batches import slices
-from nearspark.llm.shared import cut, shuffle_partitions
+from nearspark.llm.shared import cut, plain_names, shuffle_partitions
 
 LENGTH = 400
 GRAM_SHARE = 0.75
-#: Shards for each shuffle partition, so that the sizes of partitions even out.
-SHARDS = 4
+#: Words of a passage that is counted when another document holds it too.
+PASSAGE = 51
+#: Shards: so many for each shuffle partition, so that the sizes of partitions even
+#: out, and more where a shard would stand for more than ``SHARD_BYTES`` of text.
+SHARDS, SHARD_BYTES = 4, 64 << 20
 _PLACE_BITS = 31
+#: Added to the places of words, which share blobs with the places of bytes.
+_WORD = 1 << 31
 
 
 class LogIndex:
@@ -131,13 +139,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Of all windows within texts, grouped by their anchor: gram hash, surroundings' hash, text, first and last start."""
+def _anchors(sums: np.ndarray, sums_two: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    """Of all windows of symbols within texts, grouped by their anchor: gram hash, surroundings' hash, text, first and last start."""
     empty = np.zeros(0, np.int64)
-    if len(data) < length:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, None
-    sums = tx.prefix_hashes(data)
-    at = np.arange(len(data) - gram + 1)
+    n = len(sums) - 1
+    if n < length:
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+    at = np.arange(n - gram + 1)
     hashes = tx.range_hashes(sums, at, at + gram)
     keys = (hashes >> np.uint64(64 - 32)).astype(np.int64) << _PLACE_BITS | at
     best = _sliding_min(keys, length - gram + 1) & ((1 << _PLACE_BITS) - 1)
@@ -148,9 +156,9 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     if not len(first):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, sums
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     low, high = starts[first], starts[np.append(first[1:], len(starts)) - 1]
-    return hashes[anchor[first]], tx.range_hashes(sums, low, high + length), doc[low], low - offsets[doc[low]], high - offsets[doc[low]], sums
+    return hashes[anchor[first]], tx.range_hashes(sums_two, low, high + length, 1), doc[low], low - offsets[doc[low]], high - offsets[doc[low]]
 
 
 class _Writer:
@@ -191,7 +199,7 @@ def _collect(parts: list[tuple], n_cols: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(n_cols)]
 
 
-def _suffixes(length: int, gram: int, shards: int):
+def _suffixes(length: int, gram: int, passage: int, shards: int):
     """Documents (key, text) to their dealt anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +209,11 @@ def _suffixes(length: int, gram: int, shards: int):
             texts, parts = pc.fill_null(batch.column(1), ""), []
             for x, y in slices(texts):
                 data, offsets = tx.utf8(texts.slice(x, y - x))
-                a, b, doc, low, high, _ = _anchors(data, offsets, length, gram)
+                a, b, doc, low, high = _anchors(tx.prefix_hashes(data), tx.prefix_hashes(data, 1), offsets, length, gram)
                 parts.append((a, b, doc + x, low, high))
+                found = tx.words(data, offsets, tx.NON_BLANK)
+                a, b, doc, low, high = _anchors(tx.prefix_sums(found.hashes), tx.prefix_sums(found.hashes, 1), found.first, passage, passage // 2 + 1)
+                parts.append((a, b, doc + x, low + _WORD, high + _WORD))
             if sum(len(p[0]) for p in parts):
                 yield writer.write(keys, *_collect(parts, 5))
 
@@ -230,8 +241,10 @@ def _indexed(table: pa.Table) -> tuple[np.ndarray, list[dict[str, np.ndarray]],
         kept = order[lead]
         back = np.empty(len(a), np.int64)
         back[order] = np.cumsum(lead) - 1
-        many = np.bincount(back)
-        index.insert(x["a"][kept], x["b"][kept], kept + total, many > 1)
+        copies = np.bincount(back)
+        pairs = np.unique(back * len(x["keys"]) + x["doc"]) // max(len(x["keys"]), 1)
+        many = np.where(x["low"][kept] >= _WORD, np.bincount(pairs, minlength=len(copies)), copies) > 1
+        index.insert(x["a"][kept], x["b"][kept], kept + total, many)
         x["kept"], x["back"] = kept, back
         batches.append(x)
         begins.append(total)
@@ -338,9 +351,14 @@ def _by_document(table: pa.Table) -> pa.Table:
     return _table(rows, _RANGES)
 
 
-def _open_windows(length: int, shards: int):
+def _open_windows(length: int, passage: int, shards: int):
     """Documents (key, text, open) to their dealt windows."""
 
+    def windows(symbols: tuple[np.ndarray, np.ndarray], ranges: np.ndarray, size: int) -> tuple:
+        counts = ranges[:, 1] - ranges[:, 0] + 1
+        at = np.repeat(ranges[:, 0] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return tx.range_hashes(symbols[0], at, at + size), tx.range_hashes(symbols[1], at, at + size, 1), at
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(shards, by_first=False)
         for batch in batches:
@@ -348,14 +366,15 @@ def _open_windows(length: int, shards: int):
             parts, texts = [], batch.column(1)
             for i, blob in enumerate(batch.column(2).to_pylist()):
                 ranges = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
-                data, _ = tx.utf8(texts.slice(i, 1))
-                sums = tx.prefix_hashes(data)
-                counts = ranges[:, 1] - ranges[:, 0] + 1
-                at = np.repeat(ranges[:, 0] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                half = at + length // 2
-                first, second = tx.range_hashes(sums, at, half), tx.range_hashes(sums, half, at + length)
-                whole = tx.range_hashes(sums, at, at + length)
-                parts.append((tx.mix(first ^ tx.mix(second)), whole, np.full(len(at), i), at, at))
+                data, offsets = tx.utf8(texts.slice(i, 1))
+                of_words = ranges[:, 0] >= _WORD
+                if not of_words.all():
+                    a, b, at = windows((tx.prefix_hashes(data), tx.prefix_hashes(data, 1)), ranges[~of_words], length)
+                    parts.append((a, b, np.full(len(at), i), at, at))
+                if of_words.any():
+                    found = tx.words(data, offsets, tx.NON_BLANK).hashes
+                    a, b, at = windows((tx.prefix_sums(found), tx.prefix_sums(found, 1)), ranges[of_words] - _WORD, passage)
+                    parts.append((a, b, np.full(len(at), i), at + _WORD, at + _WORD))
                 if sum(len(p[0]) for p in parts) > 1 << 19:
                     yield writer.write(keys, *_collect(parts, 5))
                     parts = []
@@ -365,10 +384,10 @@ def _open_windows(length: int, shards: int):
     return run
 
 
-_RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+_RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("n_passage_words", T.LongType())]
 
 
-def _finish(length: int, schema: T.StructType, n_kept: int, texts_too: bool):
+def _finish(length: int, passage: int, schema: T.StructType, n_kept: int, texts_too: bool):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema)
@@ -376,19 +395,22 @@ def _finish(length: int, schema: T.StructType, n_kept: int, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            rows = [[], [], [], []]
+            rows = [[], [], [], [], []]
             kept_texts = []
             for text, *blobs in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode()
                 ranges = np.concatenate([np.frombuffer(b or b"", "<u4").reshape(-1, 2).astype(np.int64) for b in blobs])
-                low, high = _union(ranges[:, 0], ranges[:, 1] + length - 1)
+                of_words = ranges[:, 0] >= _WORD
+                low, high = _union(ranges[~of_words, 0], ranges[~of_words, 1] + length - 1)
                 kept, end = [], 0
                 for a, b in zip(low.tolist(), high.tolist(), strict=True):
                     kept.append(data[end:a])
                     end = b + 1
                 kept.append(data[end:])
                 left = b"".join(kept)
-                for column, value in zip(rows, (len(data), len(data) - len(left), len(low), hashlib.sha256(left).hexdigest()), strict=True):
+                first, last = _union(ranges[of_words, 0], ranges[of_words, 1] + passage - 1)
+                made = (len(data), len(data) - len(left), len(low), hashlib.sha256(left).hexdigest(), int((last - first + 1).sum()))
+                for column, value in zip(rows, made, strict=True):
                     column.append(value)
                 kept_texts.append(None if text is None else left.decode("utf-8", "ignore"))
             made = rows + ([kept_texts] if texts_too else [])
@@ -397,43 +419,52 @@ def _finish(length: int, schema: T.StructType, n_kept: int, texts_too: bool):
     return run
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None, texts: bool = False) -> DataFrame:
-    """``keep`` columns (default: all) with n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None, texts: bool = False, passage: int = PASSAGE
+) -> DataFrame:
+    """``keep`` columns (default: all) with n_bytes, n_removed, n_spans, kept_sha256, n_passage_words.
 
     A byte of a text (UTF-8; null: empty) is removed if a ``length``-byte string
     that covers it starts anywhere else too, in this or another document;
     strings never cross documents.  n_spans counts maximal removed runs,
-    kept_sha256 is of the remaining bytes.  ``texts=True`` adds kept_text: the
-    remaining bytes, less those of characters that were cut.  Repeated rows are
-    occurrences of each other.  Texts shorter than ``length`` lose nothing.
-    Columns named like the results are replaced.
-
-    Strings count as equal when two independent 64-bit fingerprints agree.
+    kept_sha256 is of the remaining bytes.  n_passage_words counts the words
+    (between blanks, of the whole text) that lie in a run of ``passage`` words
+    that another row holds too; it removes nothing.  ``texts=True`` adds
+    kept_text: the remaining bytes, less those of characters that were cut.
+    Repeated rows are occurrences of each other.  Texts shorter than ``length``
+    lose nothing.  A very long text is one task's work, within 2 GiB.  An empty
+    table gives an empty one.  Kept columns named like the results, in
+    whatever case, are replaced; other names do not clash.
+
+    Strings count as equal when two 64-bit fingerprints of independent families
+    agree: of the anchor's prefix and the surroundings, or of the whole string.
     """
-    if length < 8:
-        raise ValueError("length must be at least 8 bytes")
+    if length < 8 or passage < 2:
+        raise ValueError("length must be at least 8 bytes and passage at least 2 words")
     spark = documents.sparkSession
     gram = max(4, int(length * GRAM_SHARE))
-    shards = SHARDS * shuffle_partitions(spark)
-    names = {f.name for f in _RESULT} | ({"kept_text"} if texts else set())
-    kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
+    made = _RESULT + ([T.StructField("kept_text", T.StringType())] if texts else [])
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     # never null, so that no join puts a filter below the exchange that they share
     key: Column = F.coalesce(F.unhex(F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), text).cast("binary"))), F.lit(b""))
-    keyed = documents.select(key.alias("key"), text.alias("text"))
+    carried, fields = plain_names(documents, keep, made)
+    source = documents.select(key.alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), *carried)
+    names = [f"keep_{i}" for i in range(len(fields))]
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS * shuffle_partitions(spark), -(-size // SHARD_BYTES))
 
-    suffixes = keyed.where(F.octet_length("text") >= length).mapInArrow(_suffixes(length, gram, shards), _Writer.SCHEMA)
+    suffixes = source.where(F.octet_length("text") >= min(length, 2 * passage - 1)).select("key", "text").mapInArrow(_suffixes(length, gram, passage, shards), _Writer.SCHEMA)
     found = suffixes.groupBy("shard").applyInArrow(_resolve, _REPLY).groupBy("batch").applyInArrow(_by_document, _RANGES)
     found = cut(found.groupBy("key").agg(F.max("covered").alias("covered"), F.max("open").alias("open")))
 
     # both joins below read this one exchange: the same columns reach them
-    rows = documents.select(key.alias("__key__"), F.col(f"`{text_col}`").cast("string").alias("__text__"), *[F.col(f"`{c}`") for c in kept]).repartition("__key__")
-    opened = rows.join(found.where(F.octet_length("open") > 0).select(F.col("key").alias("__key__"), "open"), "__key__").select("__key__", "__text__", "open", *[F.col(f"`{c}`") for c in kept])
-    windows = opened.mapInArrow(_open_windows(length, shards), _Writer.SCHEMA)
+    rows = source.repartition("key")
+    opened = rows.join(found.where(F.octet_length("open") > 0).select("key", "open"), "key").select("key", "text", "open", *names)
+    windows = opened.mapInArrow(_open_windows(length, passage, shards), _Writer.SCHEMA)
     again = windows.groupBy("shard").applyInArrow(_repeated, _REPLY).groupBy("batch").applyInArrow(_by_document, _RANGES)
     again = again.select("key", F.col("covered").alias("more")).groupBy("key").agg(F.max("more").alias("more"))
 
-    marked = found.where(F.octet_length("covered") > 0).select("key", "covered").join(again, "key", "full").withColumnRenamed("key", "__key__")
-    joined = rows.join(marked, "__key__", "left").select("__text__", "covered", "more", *[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([documents.schema[c] for c in kept] + _RESULT + ([T.StructField("kept_text", T.StringType())] if texts else []))
-    return joined.mapInArrow(_finish(length, schema, len(kept), texts), schema)
+    marked = found.where(F.octet_length("covered") > 0).select("key", "covered").join(again, "key", "full")
+    joined = rows.join(marked, "key", "left").select("text", "covered", "more", *names)
+    schema = T.StructType(fields + made)
+    return joined.mapInArrow(_finish(length, passage, schema, len(fields), texts), schema)

@@ -25,10 +25,11 @@ NON_BLANK = ~_byte_set((0x20, 0x20), (0x09, 0x0D))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-_RANDOM = np.random.default_rng(_SEED).integers(1, 2**64, 256, dtype=np.uint64)
+#: Two families of hashes: of each, random numbers for bytes and a base.
+_RANDOM = np.random.default_rng(_SEED).integers(1, 2**64, (2, 256), dtype=np.uint64)
 #: 3 mod 8, so that differences of powers keep few factors of two.
-_BASE = 0x9E3779B97F4A7C13
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+_BASES = (0x9E3779B97F4A7C13, 0xD1342543DE82EF9B)
+_INVERSES = tuple(pow(b, -1, 2**64) for b in _BASES)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -64,16 +65,21 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Sums from which the hash of any byte range follows; one longer than ``data``."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_RANDOM[data] * _power_table(_BASE, len(data)), out=sums[1:])
+    return prefix_sums(_RANDOM[family][data], family)
+
+
+def prefix_sums(symbols: np.ndarray, family: int = 0) -> np.ndarray:
+    """The same for any symbols, given by 64-bit numbers."""
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * _power_table(_BASES[family], len(symbols)), out=sums[1:])
     return sums
 
 
-def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal ranges have equal hashes."""
-    inverse = _power_table(_BASE_INVERSE, len(sums))
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hashes of the ranges; equal ranges have equal hashes."""
+    inverse = _power_table(_INVERSES[family], len(sums))
     raw = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(raw + (ends - starts).astype(np.uint64))
 

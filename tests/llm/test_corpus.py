@@ -180,6 +180,22 @@ def plain_repeats(texts, length):
     return out
 
 
+def plain_passages(texts, n):
+    holders = defaultdict(set)
+    words = [re.findall(r"[^ \t-\r]+", t or "") for t in texts]
+    for row, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            holders[tuple(w[i : i + n])].add(row)
+    out = []
+    for w in words:
+        inside = set()
+        for i in range(len(w) - n + 1):
+            if len(holders[tuple(w[i : i + n])]) > 1:
+                inside.update(range(i, i + n))
+        out.append(len(inside))
+    return out
+
+
 def test_repeats(spark):
     rng = random.Random(6)
     prose = lambda n: " ".join(rng.choices([*WORDS, "naïve", "東京"], k=n))
@@ -187,12 +203,14 @@ def test_repeats(spark):
     texts = [" ".join(rng.sample([prose(rng.randrange(40)) for _ in range(3)] + rng.sample(shared, 2), 5)) for _ in range(40)]
     whole = prose(60)
     texts += [whole, whole, prose(20) * 3, "ab" * 200, "a" * 300, "", None, shared[0], texts[0][:70], None]
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1, texts[1], "x")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, n_spans string").repartition(3)
-    found = suffix_dedup.remove_repeats(table, length=50, texts=True).collect()
-    assert set(found[0].asDict()) == {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}
-    want = plain_repeats([r[1] for r in rows], 50)
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == sorted((r[0], *w) for r, w in zip(rows, want, strict=True))
+    texts += [" ".join(WORDS[:5] * 9), " ".join(WORDS[3:40] * 2), " ".join(WORDS[20:40])]  # runs repeated in a text, and across texts
+    rows = [(i, t, "x", "y", "z") for i, t in enumerate(texts)] + [(1, texts[1], "x", "y", "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, N_Spans string, key string, open string").repartition(3)
+    found = suffix_dedup.remove_repeats(table, length=50, texts=True, passage=12).collect()
+    assert set(found[0].asDict()) == {"doc_id", "text", "key", "open", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_passage_words"}
+    want = [(*w, n) for w, n in zip(plain_repeats([r[1] for r in rows], 50), plain_passages([r[1] for r in rows], 12), strict=True)]
+    assert 5 < sum(w[-1] > 0 for w in want) < len(want) - 5
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in found) == sorted((r[0], *w) for r, w in zip(rows, want, strict=True))
     assert suffix_dedup.remove_repeats(table.limit(0)).isEmpty()
 
 
