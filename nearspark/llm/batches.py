@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from nearspark.llm.shared import plain_names
+
 #: Bytes of text handed to a per-slice function at once (one text at least).
 SLICE_BYTES = 1 << 20
 
@@ -46,16 +48,14 @@ def map_texts(
     array without nulls to one Arrow array (or list) for each field.  A null
     text is handed over as the empty text.  The function also gets the arrays
     of the columns ``extra``, which are not kept.  A kept column whose name is
-    that of a field is replaced by the field.
+    that of a field, in whatever case, is replaced by the field; other names
+    do not clash.
     """
-    names = {f.name.lower() for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    by_name = {f.name: f for f in df.schema.fields}
-    schema = T.StructType([by_name[c] for c in kept] + list(fields))
+    carried, kept = plain_names(df, keep, fields)
+    schema = T.StructType(kept + list(fields))
     out = to_arrow_schema(schema)
-    source = "__text__"
-    beside = [c.alias(f"__extra_{i}__") for i, c in enumerate(extra)]
-    rows = df.select(F.col(f"`{text_col}`").cast("string").alias(source), *beside, *[F.col(f"`{c}`") for c in kept])
+    beside = [c.alias(f"extra_{i}") for i, c in enumerate(extra)]
+    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), *beside, *carried)
     n_extra = len(beside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,8 +82,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank = np.empty(len(names), np.int64)
     rank[order.to_numpy()] = np.arange(len(names))
     ends = rank[ends.indices.to_numpy()]
-    one, two = ends[:n], ends[n:]
-    label = np.arange(len(names))
+    label = labels(len(names), ends[:n], ends[n:])
+    others = np.flatnonzero(label != np.arange(len(label)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(others)), names.take(pa.array(label[others]))], names=["u", "v"])
+
+
+def labels(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of the nodes 0 to n - 1 the least node that edges (one, two) connect each with."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[one], label[two])
         new = label.copy()
@@ -92,10 +98,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while not np.array_equal(new[new], new):
             new = new[new]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
-    others = np.flatnonzero(label != np.arange(len(label)))
-    yield pa.RecordBatch.from_arrays([names.take(pa.array(others)), names.take(pa.array(label[others]))], names=["u", "v"])
 
 
 def bipartite_classes(link: np.ndarray) -> np.ndarray:

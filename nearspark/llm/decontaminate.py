@@ -20,16 +20,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from nearspark.llm import text as tx
 from nearspark.llm.batches import slices
+from nearspark.llm.shared import cut, plain_names
 
 WINDOW = 13
 #: Benchmark text that is held in memory at once; more is taken in blocks, each a pass.
 BLOCK_BYTES = 2 << 20
+#: Passes over the documents between writes to the shared folder.
+PASSES = 8
 _BITS = 22
 
 
+@dataclass
+class Items:
+    """A block of items as it is broadcast: the hashes of their words, each once."""
+
+    ids: list
+    first: np.ndarray  # words first[i] to first[i + 1] are those of item i
+    hashes: np.ndarray
+
+
 @dataclass
 class Suffixes:
-    """The windows of a block of items, grouped by length."""
+    """Every suffix of a block of items, cut to the length of a window."""
 
     items: list  # item id of each item
     owner: np.ndarray  # item of each window
@@ -45,29 +57,29 @@ def _keys(rows: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(rows[:, :width].astype(">u8")).view(f"S{8 * width}").ravel()
 
 
-def windows_of(items: list[tuple[object, str]], window: int = WINDOW) -> Suffixes:
-    """Every suffix of each item cut to ``window`` words; an item of fewer words is one window."""
-    texts = pa.array([t or "" for _, t in items], pa.string())
-    data, offsets = tx.utf8(texts)
+def items_of(items: list[tuple[object, str]]) -> Items:
+    data, offsets = tx.utf8(pa.array([t or "" for _, t in items], pa.string()))
     found = tx.words(tx.lowered(data), offsets, tx.ALNUM)
-    owner, position, lengths = [], [], []
-    for i, n in enumerate(found.counts.tolist()):
-        size = min(n, window)
-        for p in range(n - size + 1 if n else 0):
-            owner.append(i)
-            position.append(p)
-            lengths.append(size)
-    owner, position, lengths = (np.array(x, np.int64) for x in (owner, position, lengths))
-    padded = np.concatenate([found.hashes, np.zeros(window, np.uint64)])
-    at = found.first[owner] + position if len(owner) else owner
-    rows = padded[at[:, None] + np.arange(window)] if len(owner) else np.zeros((0, window), np.uint64)
+    return Items([i for i, _ in items], found.first, found.hashes)
+
+
+def windows_of(block: Items, window: int = WINDOW) -> Suffixes:
+    """The suffixes that begin a window; an item of fewer words is one window."""
+    counts = np.diff(block.first)
+    size = np.minimum(counts, window)
+    many = np.where(counts > 0, counts - size + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), many)
+    position = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    lengths = size[owner]
+    padded = np.concatenate([block.hashes, np.zeros(window, np.uint64)])
+    rows = padded[(block.first[owner] + position)[:, None] + np.arange(window)]
     rows[np.arange(window) >= lengths[:, None]] = 0
     lead = int(min(lengths.min(), 3)) if len(owner) else 1
     table = np.zeros(1 << _BITS, bool)
     if len(owner):
         first = np.ascontiguousarray(rows[:, :lead])
         table[_bits(tx.gram_hashes(first.ravel(), lead)[::lead])] = True
-    return Suffixes([i for i, _ in items], owner, position, lengths, rows, lead, table)
+    return Suffixes(block.ids, owner, position, lengths, rows, lead, table)
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -187,27 +199,32 @@ def find_contamination(
     matches are the longest verbatim matches with their places.  Items with a
     null id or text, or without words, are left out; items that share an id
     count as one.  A null or empty document has 0 words and no hits.  Repeated
-    rows are judged each.  Columns named like the results are replaced.
-
-    The benchmark is read in blocks of ``block_bytes``; each block is one
-    broadcast of at most that size and one pass over the documents.
+    rows are judged each, whole however long their texts are; an empty table
+    gives an empty one, and without items nothing is hit.  Columns named like
+    the results, in whatever case, are replaced; other names do not clash.
+
+    The benchmark is read in blocks of ``block_bytes`` of text.  A block is
+    broadcast as the hashes of its words, 8 bytes each and so at most 8 times
+    ``block_bytes`` / 2, whatever its words are; workers make its windows.  Each
+    block is one pass over the documents; after every ``PASSES`` of them the
+    rows are written to the shared folder, so that no task runs more workers.
     """
     spark: SparkSession = documents.sparkSession
-    names = {f.name for f in RESULT}
-    kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
-    kept_fields = [documents.schema[c] for c in kept]
-    source, so_far = "__text__", "__so_far__"
+    carried, kept_fields = plain_names(documents, keep, RESULT)
+    plain = [T.StructField(f"keep_{i}", f.dataType) for i, f in enumerate(kept_fields)]
     ranges = T.ArrayType(T.ArrayType(T.IntegerType()))
-    rows = documents.select(F.col(f"`{text_col}`").cast("string").alias(source), *[F.col(f"`{c}`") for c in kept])
+    rows = documents.select(F.col(f"`{text_col}`").cast("string").alias("text"), *carried)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     i, block, last = 0, next(blocks, []), False
     while not last:
         following = next(blocks, None)
         last = following is None
-        tests = spark.sparkContext.broadcast(windows_of(block, window))
-        carried = T.StructField(so_far, T.StructType([T.StructField("ranges", ranges), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(_MATCH))]))
-        schema = T.StructType([*kept_fields, *RESULT] if last else [T.StructField(source, T.StringType()), *kept_fields, carried])
-        rows = rows.mapInArrow(_pass(tests, window, i > 0, last, len(kept), schema), schema)
+        tests = spark.sparkContext.broadcast(items_of(block))
+        so_far = T.StructField("so_far", T.StructType([T.StructField("ranges", ranges), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(_MATCH))]))
+        schema = T.StructType([*kept_fields, *RESULT] if last else [T.StructField("text", T.StringType()), *plain, so_far])
+        rows = rows.mapInArrow(_pass(tests, window, i > 0, last, len(plain), schema), schema)
+        if not last and i % PASSES == PASSES - 1:
+            rows = cut(rows)
         i, block = i + 1, following
     return rows
 
@@ -218,7 +235,7 @@ def _pass(tests, window: int, again: bool, last: bool, n_kept: int, schema: T.St
     out_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tests.value
+        known = windows_of(tests.value, window)
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
             before = batch.column(batch.num_columns - 1).to_pylist() if again else [None] * batch.num_rows

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from nearspark.llm import text as tx
 from nearspark.llm.batches import map_texts
 from nearspark.llm.components import bipartite_classes, connected_components
-from nearspark.llm.shared import cut, shuffle_partitions
+from nearspark.llm.shared import cut, plain_names, shuffle_partitions
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -226,6 +226,7 @@ def find_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     component_id is the least id reachable over links, kept tells whether it
     is the row's own.  Repeated rows get equal results; a null id is reachable
     but never the least unless all are null; an empty table gives an empty one.
+    A very long text is hashed whole by one task.  Other columns are not read.
     """
     found = _decided(documents, id_col, text_col, words, similarity, bands, rows)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
@@ -262,8 +263,9 @@ def _decided(documents: DataFrame, id_col: str, text_col: str, words: int = SHIN
         if more.count():
             roots = connected_components(links.union(more))
 
-    classes = sets.join(roots, "node", "left").select("set_id", "least_id", F.coalesce("root", "node").alias("class"))
-    least = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
+    # written, so that joins read them from plain exchanges, which Spark can split, or broadcast them by their size
+    classes = cut(sets.join(roots, "node", "left").select("set_id", "least_id", F.coalesce("root", "node").alias("class")))
+    least = cut(classes.groupBy("class").agg(F.min("least_id").alias("component_id")))
     member = classes.join(least, "class").select("set_id", "component_id")
     with_set, without = made.where("n_shingles > 0"), made.where("n_shingles = 0")
     out = with_set.join(member, "set_id").select("id", "key", "n_shingles", "component_id").union(without.select("id", "key", "n_shingles", "id"))
@@ -391,14 +393,18 @@ def _cells(ids: np.ndarray) -> pa.Array:
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of one row of each class of near-duplicates: that of the least id.
 
-    Rows that repeat its id and text stay once.  Rows with a null id are kept
+    Rows that repeat its id and text (null: empty) stay once.  Rows with a null id are kept
     only if nothing with an id is in their class.  Rows of one id with
-    different texts are kept or not each by its own class.
+    different texts are kept or not each by its own class.  Null, empty and
+    blank texts are in no class and stay; an empty table gives an empty one; no
+    column's name clashes.
     """
     found = _decided(documents, id_col, text_col, **options).where("kept")
-    kept = cut(found.groupBy(F.col("id").alias("__kept__"), F.col("key").alias("__kept_key__")).agg(F.count("*").alias("__rows__")))
-    keyed = documents.withColumn("__key__", _key(id_col, text_col))
-    rows = keyed.join(kept, (F.col("__key__") == F.col("__kept_key__")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__kept__")))
-    several = rows.where("__rows__ > 1").dropDuplicates([id_col, "__key__"])
+    kept = cut(found.groupBy("id", "key").agg(F.count("*").alias("n")).toDF("kept_id", "kept_key", "n"))
+    carried, fields = plain_names(documents, None, [])
+    names = [f"keep_{i}" for i in range(len(fields))]
+    keyed = documents.select(F.col(f"`{id_col}`").alias("id"), _key(id_col, text_col).alias("key"), *carried)
+    rows = keyed.join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    several = rows.where("n > 1").dropDuplicates(["id", "key"])
     # both parts read one exchange of the documents; where no row is repeated, the second is empty
-    return rows.where("__rows__ = 1").select(*documents.columns).union(several.select(*documents.columns))
+    return rows.where("n = 1").select(*names).union(several.select(*names)).toDF(*[f.name for f in fields])

@@ -17,9 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from nearspark.llm.shared import cut
+from nearspark.llm.shared import cut, plain_names
 
 LEVELS = ("domain", "lang", "source")
 SEED = "mix"
@@ -109,15 +109,16 @@ def mix(
     Null names count as the name ``(null)``.  Documents without tokens are
     never taken.  Rows of equal id and leaf are taken together or not at all;
     ties in the order are decided by the id.  An empty table gives an empty
-    one.  Columns named like the results are replaced.  No leaf gets more
+    one.  Columns named like the results, in whatever case, are replaced.
+    Texts are counted whole, however long.  No leaf gets more
     than its share; the documents that would exceed it are left out, so the
     sum falls short of the budget by less than one document for each leaf.
     """
-    made = ("domain", "n_tokens", "epoch")
+    made = [T.StructField(c, T.StringType()) for c in ("domain", "n_tokens", "epoch")]
     name = lambda c: F.coalesce(c.cast("string"), F.lit("(null)"))
-    kept = [c for c in (documents.columns if keep is None else keep) if c not in made]
+    carried, kept = plain_names(documents, keep, made)
     marked = documents.select(
-        *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(kept)],
+        *carried,
         F.col(f"`{id_col}`").alias("id"),
         name(domain if domain is not None else F.lit("all")).alias("domain"),
         name(F.col(f"`{lang_col}`")).alias("lang"),
@@ -130,6 +131,7 @@ def mix(
     shares = allot(leaves, budget, weights or {}, max_epochs)
     shares = shares.select(*LEVELS, "available", "documents", F.expr("allotted div available").alias("whole"), F.expr("allotted % available").alias("room"))
     shares = cut(shares)
+    # one result either way: a hint where the size is known to be bounded, else Spark's own choice
     few = shares.count() <= BROADCAST_LEAVES
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
 
@@ -153,4 +155,4 @@ def mix(
     within = F.col("stop").isNotNull() & (F.struct(_order_key(F.col("whole"), F.col("id"), seed).alias("key"), F.col("id").alias("id")) < F.col("stop"))
     copies = F.col("whole") + F.when(within, 1).otherwise(0)
     taken = taken.withColumn("copies", copies.cast("int")).where("copies > 0")
-    return taken.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(kept)], "domain", F.col("tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
+    return taken.select(*[F.col(f"keep_{i}").alias(f.name) for i, f in enumerate(kept)], "domain", F.col("tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))

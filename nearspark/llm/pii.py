@@ -158,7 +158,7 @@ def find_pii(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE
 
     Offsets are code points, ``end`` is exclusive.  A null or empty text has an
     empty array; repeated rows are scanned each; an empty table gives an empty
-    table; a column named ``pii`` is replaced.  Time is linear in a text's
+    table; a column named ``pii``, in whatever case, is replaced.  Time is linear in a text's
     length, also for very long runs of digits or of address characters.
     """
 
@@ -172,16 +172,20 @@ def find_pii(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE
 
 
 def redact_pii(df: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """All columns in their order, the text redacted; a null text stays null."""
-    order = df.columns
-    kept = [c for c in order if c != text_col]
+    """All columns in their order, the text redacted; a null text stays null.
+
+    An empty table gives an empty one; repeated and very long texts are each
+    redacted whole; other columns' names do not clash.
+    """
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
     def make():
-        def run(texts: pa.Array) -> list:
-            return [[redact(t, find_spans(t, min_score)) for t in texts.to_pylist()]]
+        def run(texts: pa.Array, null: pa.Array) -> list:
+            return [[None if n else redact(t, find_spans(t, min_score)) for t, n in zip(texts.to_pylist(), null.to_pylist(), strict=True)]]
 
         return run
 
-    redacted = "__redacted__"
-    out = map_texts(df.withColumn("__null__", F.col(f"`{text_col}`").isNull()), text_col, [T.StructField(redacted, T.StringType())], make, [*kept, "__null__"])
-    return out.select(*[F.when(~F.col("__null__"), F.col(redacted)).alias(c) if c == text_col else F.col(f"`{c}`") for c in order])
+    others = [c for i, c in enumerate(numbered.columns) if i != at]
+    out = map_texts(numbered, f"c{at}", [T.StructField("redacted", T.StringType())], make, others, extra=[F.col(f"c{at}").isNull()])
+    return out.select(*["redacted" if i == at else c for i, c in enumerate(numbered.columns)]).toDF(*df.columns)

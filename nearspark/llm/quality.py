@@ -202,7 +202,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     left out, and so are labels without a document.  Of documents that share
     an id, each is a row.  Without labelled rows the model scores all 0.5.
     ``metadata`` names numeric columns of the documents that are features too;
-    null counts as 0.
+    null counts as 0.  Texts are read whole; other columns are not read.
     """
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -211,7 +211,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .orderBy(F.xxhash64("__id__"), "__id__")
         .limit(sample)
     )
-    rows = documents.select(F.col(id_col).alias("__id__"), F.col(text_col).alias("__t__"), *[F.col(f"`{c}`") for c in metadata]).join(F.broadcast(ids), "__id__")
+    beside = [c.alias(f"beside_{i}") for i, c in enumerate(_metadata(metadata))]
+    rows = documents.select(F.col(f"`{id_col}`").alias("__id__"), F.col(f"`{text_col}`").alias("__t__"), *beside).join(F.broadcast(ids), "__id__")
     n_stats = N_STATS + len(metadata)
     fields = [
         T.StructField("i", T.ArrayType(T.IntegerType())),
@@ -228,7 +229,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    found = map_texts(rows, "__t__", fields, make, ["__id__", "__y__"], extra=_metadata(metadata))
+    found = map_texts(rows, "__t__", fields, make, ["__id__", "__y__"], extra=[F.col(f"beside_{i}") for i in range(len(beside))])
     fitted = found.repartition(1).mapInArrow(_fitted(n_stats, bits), "machine binary").collect()
     return pickle.loads(fitted[0][0]) if fitted else fit(_no_rows(n_stats), np.zeros(0), bits)
 
@@ -257,7 +258,8 @@ def score_quality(documents: DataFrame, machine: Machine, text_col: str = "text"
     """``keep`` columns (default: all) with score (0 to 1) and predicted (0 or 1).
 
     Null and empty texts are scored from their (empty) statistics.  Repeated
-    rows get equal scores.  Columns named like the results are replaced.
+    rows get equal scores; texts are scored whole; an empty table gives an
+    empty one.  Columns named like the results, in whatever case, are replaced.
     ``metadata`` names the columns that the model was fitted with.
     """
     shared = documents.sparkSession.sparkContext.broadcast(machine)

@@ -46,7 +46,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.work_dir(spark, "warc")
     warc.write_archive(warc.make_records(table(spark, sf_dir, "pages")), path)
-    read = warc.parse_records(warc.read_archive(spark, path), keep=["payload_bytes"], payloads=False)
+    read = warc.parse_records(warc.read_archive(spark, path), keep=["payload_bytes"], payloads=False, ids="long")
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -103,6 +103,7 @@ def op10_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count("pii", kind).alias(f"n_{kind}") for kind in pii.BASE],
         _sha256(_joined("pii", pii.BASE)).alias("base_sha256"),
         _joined("pii").alias("spans"),
+        F.size("pii").cast("long").alias("n_found"),
     )
 
 

@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from nearspark.llm.shared import plain_names
+
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +45,10 @@ def make_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     the least id are responses and the others revisits that refer to it;
     shorter ones are all responses.  A null id is never the least unless all
     are null; rows that repeat the least id are all responses.  Line ends in a
-    URL are percent-encoded; a null URL gives an empty one.
+    URL or an id are percent-encoded; a null URL or id gives an empty one.
+    An empty table gives an empty one; other columns are not read.  A payload
+    that a third of all pages share is one key of the join here and of that in
+    ``read_archive``; Spark splits such a partition.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
@@ -54,16 +59,16 @@ def make_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.join(groups.select("sha256", least.alias("least")), "sha256")
     revisit = (F.col("n_bytes") >= least_revisit) & ~F.col("page_id").eqNullSafe(F.col("least"))
     rows = rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("least"))})
-    url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     length = F.lit(len(HTTP)) + F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    plain = lambda c: F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    urn = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), plain(c), F.lit(">"))
     headers = F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", url),
+        line("WARC-Target-URI", plain(F.col("url"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("least"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -91,15 +96,18 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(record, sha256, payload_bytes): the original records' bytes, and the size of each one's full payload.
 
     Responses are headers, payload and two line ends; revisits have no payload.
-    A payload that does not have the digest it is stored under is an error.
+    A payload that does not have the digest or the size it is stored under is
+    an error; revisits take the size of the response's verified payload.  An
+    archive without records gives no rows.
     """
     schema = "headers binary, payload binary, sha256 binary, n_bytes long, kind string"
     rows = spark.read.schema(schema).parquet(path)
     headers = rows.where("kind = 'header'").select("headers", "sha256")
     is_revisit = F.col("headers").cast("string").startswith(f"{VERSION}\r\nWARC-Type: revisit\r\n")
     stored = rows.where("kind = 'payload'")
-    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
-    payloads = stored.select("sha256", "payload").groupBy("sha256").agg(F.first("payload").alias("payload")).select("sha256", sound.alias("payload"))
+    same = (F.unhex(F.sha2("payload", 256)) == F.col("sha256")) & (F.octet_length("payload") == F.col("n_bytes"))
+    sound = F.when(same, F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
+    payloads = stored.groupBy("sha256").agg(F.first(F.struct("payload", "n_bytes")).alias("one")).select("sha256", "one.*").select("sha256", sound.alias("payload"))
     sizes = stored.groupBy("sha256").agg(F.max("n_bytes").alias("payload_bytes"))
     end = F.lit(b"\r\n\r\n")
     whole = headers.where(~is_revisit).join(payloads, "sha256").select(F.concat("headers", "payload", end).alias("record"), "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"))
@@ -127,21 +135,19 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, data[begin:end], end + 4
 
 
-_PARSED = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()),
-        T.StructField("record_type", T.StringType()),
-        T.StructField("target_uri", T.StringType()),
-        T.StructField("payload_digest", T.StringType()),
-        T.StructField("refers_to", T.LongType()),
-        T.StructField("payload", T.BinaryType()),
-    ]
-)
+def _parsed_fields(ids: T.DataType) -> list[T.StructField]:
+    kinds = {"page_id": ids, "record_type": T.StringType(), "target_uri": T.StringType(), "payload_digest": T.StringType(), "refers_to": ids, "payload": T.BinaryType()}
+    return [T.StructField(name, kind) for name, kind in kinds.items()]
+
+
+def _page(value: str | None) -> str | None:
+    return (value or "").removeprefix("<").removesuffix(">").removeprefix(RECORD_ID) or None
 
 
-def _page(value: str | None) -> int | None:
-    number = (value or "").strip("<>").removeprefix(RECORD_ID)
-    return int(number) if re.fullmatch(r"-?[0-9]+", number) else None
+def _number(value: str | None) -> int | None:
+    if value is None or re.fullmatch(r"-?[0-9]{1,18}", value):
+        return None if value is None else int(value)
+    raise ValueError(f"the record id {value!r} is not an integer; read ids as strings")
 
 
 def _parsed(data: bytes) -> Iterator[tuple]:
@@ -154,20 +160,29 @@ def _parsed(data: bytes) -> Iterator[tuple]:
         yield _page(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), digest, _page(fields.get("warc-refers-to")), None if kind == "revisit" else payload
 
 
-def parse_records(df: DataFrame, column: str = "record", keep: list[str] | None = None, payloads: bool = True) -> DataFrame:
+def parse_records(df: DataFrame, column: str = "record", keep: list[str] | None = None, payloads: bool = True, ids: str = "string") -> DataFrame:
     """The parsed records of a column of WARC bytes (one record or many), with the columns ``keep``.
 
-    Null and empty values hold no records; ``payloads=False`` leaves the payload null.
+    ``ids`` is the type of page_id and refers_to, "string" or "long"; as "long",
+    one that is no integer is an error.  Empty ids are null.  Null and empty
+    values hold no records; ``payloads=False`` leaves the payload null.  Kept
+    columns named like the results are replaced; an empty table gives an empty
+    one.
     """
-    kept = keep or []
-    schema = T.StructType([df.schema[c] for c in kept] + list(_PARSED))
+    of_ids = T.LongType() if ids == "long" else T.StringType()
+    made = _parsed_fields(of_ids)
+    carried, fields = plain_names(df, keep or [], made)
+    schema = T.StructType(fields + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        typed = pa.int64() if ids == "long" else pa.string()
+        kinds = [typed, pa.string(), pa.string(), pa.string(), typed, pa.binary()]
         for batch in batches:
             rows, source, size = [], [], 0
             for i, data in enumerate(batch.column(0).to_pylist()):
                 for row in _parsed(data or b""):
+                    if ids == "long":
+                        row = (_number(row[0]), *row[1:4], _number(row[4]), row[5])
                     rows.append(row if payloads else (*row[:-1], None))
                     source.append(i)
                     size += len(row[-1] or b"") if payloads else 0
@@ -176,7 +191,7 @@ def parse_records(df: DataFrame, column: str = "record", keep: list[str] | None
                         rows, source, size = [], [], 0
             yield _batch(batch, rows, source, kinds, schema)
 
-    return df.select(F.col(column).cast("binary"), *kept).mapInArrow(run, schema)
+    return df.select(F.col(f"`{column}`").cast("binary").alias("record"), *carried).mapInArrow(run, schema)
 
 
 def _batch(batch: pa.RecordBatch, rows: list[tuple], source: list[int], kinds: list[pa.DataType], schema: T.StructType) -> pa.RecordBatch:
@@ -195,6 +210,6 @@ def write_files(records: DataFrame, path: str, per_file: int = 2000, compression
     records.select(record.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).mode("overwrite").text(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The parsed records of all uncompressed WARC files below ``path``."""
-    return parse_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path), "content")
+def read_files(spark: SparkSession, path: str, ids: str = "string") -> DataFrame:
+    """The parsed records of all uncompressed WARC files below ``path``; a file is one task's work, in memory."""
+    return parse_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path), "content", ids=ids)

@@ -154,14 +154,45 @@ def test_near_vectors(spark, block):
         assert covertree.find_duplicates(table.limit(0)).isEmpty()
 
 
+def dense(one, two, links):
+    found = np.zeros((len(one.points), len(two.points)), int)
+    np.add.at(found, (links.one, links.two), 1)
+    for a, b, c, d in links.wholes:
+        found[a:b, c:d] += 1 if one is not two or a != c else np.triu(np.ones((b - a, d - c), int), 1)
+    assert found.max(initial=0) <= 1  # each pair once
+    back = np.zeros(found.shape, bool)
+    back[np.ix_(one.order, two.order)] = found > 0
+    return back
+
+
 def test_cover_tree_prunes_and_includes():
     rng = np.random.default_rng(5)
-    points = np.concatenate([rng.normal(c, 0.05, (60, 6)) for c in rng.normal(size=(4, 6))])
+    for spread, per, many in ((0.05, 60, 4), (0.4, 5, 40), (0.02, 50, 40), (0.3, 1, 300)):
+        points = np.concatenate([rng.normal(c, spread / 2, (per, 12)) for c in rng.normal(size=(many, 12))])
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        tree, other = covertree.build(points, 0.05), covertree.build(points[:100], 0.3)
+        sizes = [len(c) for c in tree.centres]
+        assert all(p <= q for p, q in zip(sizes, sizes[1:], strict=False)) and len(tree.points) == len(points)
+        for centres, radii, bounds in zip(tree.centres, tree.radii, tree.bounds, strict=True):
+            for k in range(len(centres)):
+                assert bounds[k] <= centres[k] < bounds[k + 1]
+                assert np.linalg.norm(tree.points[bounds[k] : bounds[k + 1]] - tree.points[centres[k]], axis=1).max() <= radii[k] + 1e-9
+        for cosine in (0.5, 0.93, 0.999):
+            true = points @ points.T >= cosine
+            links = covertree.linked(tree, tree, cosine)
+            assert (dense(tree, tree, links) | dense(tree, tree, links).T == true & ~np.eye(len(points), dtype=bool)).all()
+            assert (dense(tree, other, covertree.linked(tree, other, cosine)) == true[:, :100]).all()
+            total, label, _ = covertree.summed(tree, tree, links, np.ones(len(points), int), np.ones(len(points), int))
+            assert (total[np.argsort(tree.order)] == true.sum(axis=1) - 1).all()
+            assert all(np.array_equal(label[i] == label[j], True) for i, j in zip(links.one, links.two, strict=True))
+
+
+def test_dual_traversal_computes_few_distances():
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(c, 0.02, (50, 32)) for c in rng.normal(size=(40, 32))])
     points /= np.linalg.norm(points, axis=1)[:, None]
     tree = covertree.build(points, 0.05)
-    assert all(a <= b for a, b in zip(tree.sizes, tree.sizes[1:], strict=False)) and len(tree.radii) == len(tree.sizes)
-    for cosine in (0.5, 0.93, 0.999):
-        assert (covertree.linked(tree, covertree.build(points[:100], 0.05), cosine) == (points @ points[:100].T >= cosine)).mean() > 0.9999
+    assert covertree.linked(tree, tree, 0.93).distances < 0.1 * len(points) ** 2 / 2
 
 
 def plain_repeats(texts, length):
@@ -237,7 +268,7 @@ def test_warc(spark, tmp_path):
     warc.write_archive(records, str(tmp_path / "archive"))
     read = warc.read_archive(spark, str(tmp_path / "archive"))
     assert read.count() == len(pages)
-    parsed = warc.parse_records(read, keep=["payload_bytes"]).collect()
+    parsed = warc.parse_records(read, keep=["payload_bytes"], ids="long").collect()
     key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
     sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     least = {"": 4, "x": 7, pages[0][2]: 3, "alone": None}
@@ -255,6 +286,16 @@ def test_warc(spark, tmp_path):
             warc.parse_record(broken)
 
 
+def test_ids_of_records_that_are_no_integers(spark, tmp_path):
+    table = spark.createDataFrame([("a>", "u", "x"), ("b\nc", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    warc.write_archive(warc.make_records(table), str(tmp_path / "a"))
+    read = warc.read_archive(spark, str(tmp_path / "a"))
+    found = {(r.page_id, r.refers_to) for r in warc.parse_records(read).collect()}
+    assert found == {("a>", None), ("b%0Ac", "a>"), (None, None)}
+    with pytest.raises(Exception, match="not an integer"):
+        warc.parse_records(read, ids="long").collect()
+
+
 def test_changed_payload_is_found(spark, tmp_path):
     warc.write_archive(warc.make_records(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string")), str(tmp_path / "a"))
     rows = spark.read.parquet(str(tmp_path / "a"))
