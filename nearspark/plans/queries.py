@@ -143,8 +143,8 @@ def n_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_overhang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = SearchOptions(alphabet="iupac", k=3, rc=True, alpha=0.5, max_overhang=6)
-    found = S.search(reads(spark, sf_dir), [BARCODE], options, text_col="seq", keep=["doc_id"])
+    options = SearchOptions(alphabet="iupac", k=2, rc=True, alpha=0.5, max_overhang=6)
+    found = S.search(reads(spark, sf_dir), [PATTERN], options, text_col="seq", keep=["doc_id"])
     return found.drop("pattern_idx", "pattern_id")
 
 
@@ -242,27 +242,77 @@ for _i, _name in enumerate(NAMES):
     _part_sql.append(f"SELECT * FROM (WITH {_costs('SELECT p_partkey AS id, p_name AS s FROM part', _name, 1)}, {_minima('c', 1)} SELECT id AS p_partkey, CAST({_i} AS INT) AS pattern_idx, {_END} FROM c_hit)")
 
 
-def _trace_sql() -> str:
-    """Alignments by walking back from each end, trying matches, substitutions, text and pattern characters in this order."""
-    k = 3
-    cell = lambda j, i: f"CASE WHEN {j} = 0 THEN 0 ELSE list_min(list_transform(range(0, least({i}, {j} + {k}) + 1), lambda q: levenshtein(left('{PATTERN}', CAST({j} AS BIGINT)), substr(s, {i} - q + 1, q)))) END"
-    return f"""WITH RECURSIVE {_costs(_source('benchmark', 'item_id'), PATTERN, k)}, {_minima('c', k)},
+_CIGAR = "list_aggregate(list_transform(regexp_extract_all(ops, '=+|X+|D+|I+'), lambda r: CAST(length(r) AS VARCHAR) || left(r, 1)), 'string_agg', '')"
+
+
+def _trace_sql(source: str, pattern: str, k: int, columns: str, ends: str = "true") -> str:
+    """``columns`` of (id, n, s, i, stop, cost, ops) for minima at ``ends``, by walking back from each end.
+
+    Matches are tried first, then substitutions, text and pattern characters.
+    """
+    cell = lambda j, i: f"CASE WHEN {j} = 0 THEN 0 ELSE list_min(list_transform(range(0, least({i}, {j} + {k}) + 1), lambda q: levenshtein(left('{pattern}', CAST({j} AS BIGINT)), substr(s, {i} - q + 1, q)))) END"
+    return f"""WITH RECURSIVE {_costs(source, pattern, k)}, {_minima('c', k)},
 walk AS (
-  SELECT h.id, h.i AS stop, h.cost, t.s, h.i AS i, CAST({len(PATTERN)} AS BIGINT) AS j, h.cost AS g, '' AS ops FROM c_hit h JOIN c_t t USING (id)
+  SELECT h.id, t.n, h.i AS stop, h.cost, t.s, h.i AS i, CAST({len(pattern)} AS BIGINT) AS j, h.cost AS g, '' AS ops FROM c_hit h JOIN c_t t USING (id) WHERE {ends}
   UNION ALL
-  SELECT id, stop, cost, s, i - CASE WHEN op = 'I' THEN 0 ELSE 1 END, j - CASE WHEN op = 'D' THEN 0 ELSE 1 END, g - CASE WHEN op = '=' THEN 0 ELSE 1 END, op || ops FROM (
-    SELECT *, CASE WHEN i > 0 AND substr('{PATTERN}', j, 1) = substr(s, i, 1) AND {cell('(j - 1)', '(i - 1)')} = g THEN '='
+  SELECT id, n, stop, cost, s, i - CASE WHEN op = 'I' THEN 0 ELSE 1 END, j - CASE WHEN op = 'D' THEN 0 ELSE 1 END, g - CASE WHEN op = '=' THEN 0 ELSE 1 END, op || ops FROM (
+    SELECT *, CASE WHEN i > 0 AND substr('{pattern}', j, 1) = substr(s, i, 1) AND {cell('(j - 1)', '(i - 1)')} = g THEN '='
       WHEN i > 0 AND {cell('(j - 1)', '(i - 1)')} = g - 1 THEN 'X' WHEN i > 0 AND {cell('j', '(i - 1)')} = g - 1 THEN 'D' ELSE 'I' END AS op
     FROM walk WHERE j > 0))
-SELECT id AS item_id, CAST(i AS INT) AS text_start, CAST(stop AS INT) AS text_end, CAST(cost AS INT) AS cost,
-  list_aggregate(list_transform(regexp_extract_all(ops, '=+|X+|D+|I+'), lambda r: CAST(length(r) AS VARCHAR) || left(r, 1)), 'string_agg', '') AS cigar, substr(s, i + 1, stop - i) AS match_region
-FROM walk WHERE j = 0"""
+SELECT {columns} FROM walk WHERE j = 0"""
+
+
+def _match_sql(id_col: str, strand: str, more: str = "", start: str = "i", end: str = "stop") -> str:
+    """The columns of a match that has no overhang."""
+    return f"id AS {id_col}, {more}CAST({start} AS INT) AS text_start, CAST({end} AS INT) AS text_end, CAST(0 AS INT) AS pattern_start, CAST({len(PATTERN)} AS INT) AS pattern_end, CAST(cost AS INT) AS cost, '{strand}' AS strand, {_CIGAR} AS cigar"
+
+
+def _encoded_sql() -> str:
+    """Two patterns and their reverse complements in forward texts."""
+    parts = []
+    for name, pattern in (("a", PATTERN), ("b", PATTERN[::-1])):
+        for strand, wanted in (("+", pattern), ("-", pattern.translate(str.maketrans(*_PAIRS))[::-1])):
+            parts.append(f"SELECT * FROM ({_trace_sql(_source('documents', 'doc_id'), wanted, K, _match_sql('doc_id', strand, f"'{name}' AS pattern_id, "))})")
+    return " UNION ALL ".join(parts)
+
+
+def _predicate_sql() -> str:
+    """Minima before a G, in texts and, of the complement, in reversed texts."""
+    before = "substr(t.s, h.i + 1, 1) = 'G'"
+    forward = _trace_sql(_source("documents", "doc_id"), PATTERN, K, _match_sql("doc_id", "+"), before)
+    back = _trace_sql(f"SELECT doc_id AS id, reverse({_bases_sql('text')}) AS s FROM documents", _COMPLEMENT["p"], K, _match_sql("doc_id", "-", start="n - stop", end="n - i"), before)
+    return f"SELECT * FROM ({forward}) UNION ALL SELECT * FROM ({back})"
+
+
+def _sam_sql() -> str:
+    """Regions of forward texts; of reverse complements CIGARs from the region's start on."""
+    columns = lambda strand, start, end, region, cigar: f"'p' AS pat_id, id AS text_id, CAST(cost AS INT) AS cost, '{strand}' AS strand, CAST({start} AS INT) AS \"start\", CAST({end} AS INT) AS \"end\", {region} AS match_region, {cigar} AS cigar"
+    region = "substr(s, i + 1, stop - i)"
+    forward = _trace_sql(_source("benchmark", "item_id"), PATTERN, K, columns("+", "i", "stop", region, _CIGAR))
+    back = _trace_sql(f"SELECT item_id AS id, reverse({_bases_sql('text')}) AS s FROM benchmark", _COMPLEMENT["p"], K, columns("-", "n - stop", "n - i", f"reverse({region})", _CIGAR.replace("(ops,", "(reverse(ops),")))
+    return f"SELECT * FROM ({forward}) UNION ALL SELECT * FROM ({back})"
+
+
+def _all_vs_all_sql() -> str:
+    letters = _bases_sql("translate(n_name, '0123456789_', 'bdfhjlnprtv')")
+    return f"""WITH names AS (SELECT n_name AS name, {letters} AS s FROM nation),
+c_t AS (SELECT p.name AS one, t.name AS two, p.name || ' ' || t.name AS id, p.s AS p, t.s AS s, length(t.s) AS n FROM names p JOIN names t ON p.name <> t.name AND length(p.s) > 0 AND length(t.s) > 0),
+c_e AS (SELECT *, unnest(range(0, n + 1)) AS i FROM c_t),
+c_w AS (SELECT *, substr(s, greatest(i - length(p) - 2, 0) + 1, least(i, length(p) + 2)) AS w FROM c_e),
+c AS (SELECT id, n, i, list_min(list_transform(range(0, length(w) + 1), lambda q: levenshtein(p, right(w, q)))) AS cost FROM c_w), {_minima('c', 2)}
+SELECT one AS id, two AS other_id, count(*) AS matches FROM c_hit JOIN c_t USING (id) GROUP BY ALL"""
+
 
+_TRACE_COLUMNS = f"id AS item_id, CAST(i AS INT) AS text_start, CAST(stop AS INT) AS text_end, CAST(cost AS INT) AS cost, {_CIGAR} AS cigar, substr(s, i + 1, stop - i) AS match_region"
 
 ORACLE_SQL: dict[str, str] = {
     "search_minima": f"{_DOCUMENTS} SELECT id AS doc_id, {_END} FROM c_hit",
     "search_all_ends": f"{_URLS} SELECT id AS page_id, {_END} FROM c WHERE cost <= 2",
-    "search_trace": _trace_sql(),
+    "search_trace": _trace_sql(_source("benchmark", "item_id"), PATTERN, 3, _TRACE_COLUMNS),
+    "search_encoded": _encoded_sql(),
+    "sam_table": _sam_sql(),
+    "all_vs_all": _all_vs_all_sql(),
+    "end_predicate": _predicate_sql(),
     "search_many": " UNION ALL ".join(_part_sql),
     "search_ignore_case": f"WITH {_costs('SELECT page_id AS id, lower(url) AS s FROM pages', 'example.com', 2)}, {_minima('c', 2)} SELECT id AS page_id, {_END} FROM c_hit",
     "best_match": f"""WITH {_costs(_source('benchmark', 'item_id'), BARCODE, BARCODE_K)}, {_minima('c', BARCODE_K)}

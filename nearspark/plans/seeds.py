@@ -13,8 +13,8 @@ from pyspark.sql import Column, functions as F
 
 from nearspark.plans.options import SearchOptions, pieces
 
-#: A piece this short is in almost every text.
-SHORTEST = 4
+#: Shorter pieces are in almost every text: there are few strings of four bases.
+SHORTEST = {"ascii": 4, "ascii_ci": 4, "dna": 8}
 MOST_PIECES = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,10 +32,11 @@ def seed_filter(text: Column, patterns: Sequence[bytes], options: SearchOptions)
     if options.rc:
         wanted += [letters.reverse_complement(p) for p in patterns]
     parts = {q for p in wanted for q in pieces(p, options.k)}
-    if len(parts) > MOST_PIECES or min(map(len, parts)) < SHORTEST:
+    if len(parts) > MOST_PIECES or min(map(len, parts)) < SHORTEST[letters.name]:
         return None
     data = text.cast("binary")
     if letters.name != "ascii":
         data = F.translate(text.cast("string"), _UPPER, _LOWER).cast("binary")
         parts = {p.lower() for p in parts}
-    return reduce(lambda a, b: a | b, (F.contains(data, F.lit(p)) for p in sorted(parts)))
+    # the text, which may be a costly expression, is computed once for all pieces
+    return F.exists(F.array(data), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in sorted(parts))))
