@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nearspark.llm import bpe, covertree, decontaminate, minhash, mixing, pii, quality, secrets, shared, suffix_dedup, warc
+from nearspark.llm import bpe, covertree, decontaminate, minhash, mixing, oracles, pii, quality, secrets, shared, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,4 +150,11 @@ SELECT doc_id, lang, source, domain, n_tokens, CAST(unnest(range(CAST(whole + CA
 """
 
 #: DuckDB SQL for those whose results SQL can state at the size of whole tables.
-ORACLE_SQL: dict[str, str] = {"op2_warc_archive": _WARC_SQL, "op6_mix_sources": _MIX_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.contamination(decontaminate.WINDOW),
+    "op2_warc_archive": _WARC_SQL,
+    "op4_near_duplicates": oracles.near_duplicates(4),
+    "op6_mix_sources": _MIX_SQL,
+    "op7_near_vectors": oracles.near_vectors(0.93),
+    "op8_remove_repeats": oracles.repeats(suffix_dedup.LENGTH, suffix_dedup.PASSAGE),
+}
