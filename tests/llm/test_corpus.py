@@ -400,7 +400,7 @@ def test_pipeline_writes_its_stages(spark, monkeypatch):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("benchmark", "documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{table}.parquet')")
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = sorted(found.columns)
