@@ -284,6 +284,22 @@ def _predicate_sql() -> str:
     return f"SELECT * FROM ({forward}) UNION ALL SELECT * FROM ({back})"
 
 
+def _paths_sql() -> str:
+    """Where each operation begins; reversed texts of complements are walked from their ends."""
+    tail = "regexp_extract(ops, '[XID]*$')"
+
+    def columns(strand: str, start: str, text: str) -> str:
+        moved = lambda letter: f"length(replace(left(ops, p), '{letter}', ''))"
+        step = f"""'{{"pattern_pos":' || {moved('D')} || ',"text_pos":' || ({text.format(moved('I'))}) || '}}'"""
+        path = f"'[' || coalesce(list_aggregate(list_transform(range(length(ops)), lambda p: {step}), 'string_agg', ','), '') || ']'"
+        net = f"CAST(length(replace({tail}, 'D', '')) - length(replace({tail}, 'I', '')) AS INT)"
+        return f"id AS doc_id, '{strand}' AS strand, CAST({start} AS INT) AS text_start, {path} AS path, {net} AS net_insertions, {_CIGAR.replace('(ops,', '(reverse(ops),')} AS reverse_cigar"
+
+    forward = _trace_sql(_source("documents", "doc_id"), PATTERN, K, columns("+", "i", "i + {}"))
+    back = _trace_sql(f"SELECT doc_id AS id, reverse({_bases_sql('text')}) AS s FROM documents", _COMPLEMENT["p"], K, columns("-", "n - stop", "n - i - 1 - {}"))
+    return f"SELECT * FROM ({forward}) UNION ALL SELECT * FROM ({back})"
+
+
 def _sam_sql() -> str:
     """Regions of forward texts; of reverse complements CIGARs from the region's start on."""
     columns = lambda strand, start, end, region, cigar: f"'p' AS pat_id, id AS text_id, CAST(cost AS INT) AS cost, '{strand}' AS strand, CAST({start} AS INT) AS \"start\", CAST({end} AS INT) AS \"end\", {region} AS match_region, {cigar} AS cigar"
@@ -311,6 +327,7 @@ ORACLE_SQL: dict[str, str] = {
     "search_trace": _trace_sql(_source("benchmark", "item_id"), PATTERN, 3, _TRACE_COLUMNS),
     "search_encoded": _encoded_sql(),
     "sam_table": _sam_sql(),
+    "alignment_paths": _paths_sql(),
     "all_vs_all": _all_vs_all_sql(),
     "end_predicate": _predicate_sql(),
     "search_many": " UNION ALL ".join(_part_sql),

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from nearspark.plans import more_queries as M
 from nearspark.plans import queries as Q
 
 TABLES = "/root/testdata/sf0.001"
@@ -21,15 +22,16 @@ def test_entry(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", list(Q.QUERIES))
+@pytest.mark.parametrize("name", [*Q.QUERIES, *M.QUERIES])
 def test_queries(spark, name):
     duckdb = pytest.importorskip("duckdb")
     found = entry.queries()[name](spark, TABLES)
     columns = sorted(found.columns)
     rows = found.select(*columns).collect()
-    if name in Q.ORACLE_SQL:
+    sql = Q.ORACLE_SQL | M.ORACLE_SQL
+    if name in sql:
         con = duckdb.connect()
         for table in ("benchmark", "conversations", "documents", "events", "lineitem", "nation", "pages", "part"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{TABLES}/{table}.parquet')")
-        wanted = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({Q.ORACLE_SQL[name]})").fetchall()
+        wanted = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({sql[name]})").fetchall()
         assert sorted(map(tuple, rows)) == sorted(wanted)
