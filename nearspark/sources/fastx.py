@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from nearspark.functions.columns import format_cigar, match_region
 
@@ -30,24 +30,83 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(text_id, seq, quality, path) of FASTQ files of four-line records, plain or gzipped.
+    """(text_id, seq, quality, path) of FASTQ files of four-line records.
 
-    A file is one task: where a record begins is known only from the start.
+    Files may be compressed as Hadoop's codecs allow; uncompressed ones are
+    split between tasks.  A record whose quality begins with @ and lies on the
+    edge of two splits is put together from both, which takes a second look at
+    those files.  Line ends may be of either kind; a file of another form is an
+    error.
     """
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_fastq, RECORD)
+
+    def pieces(names: str) -> DataFrame:
+        rows = spark.read.option("lineSep", "\n@").option("pathGlobFilter", names).text(path)
+        placed = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+        return placed.mapInArrow(_fastq, _PIECE)
+
+    whole = pieces("*").where(F.col("part") == _WHOLE).select(*RECORD.names)
+    order = Window.partitionBy("path").orderBy("split", F.desc("part"))
+    torn = pieces("*[!z]").where(F.col("part") != _WHOLE).withColumn("before", F.lag("part").over(order)).withColumn("after", F.lead("part").over(order)).withColumn("rest", F.lead("quality").over(order))
+    fits = F.when(F.col("part") == _HEAD, F.col("after").eqNullSafe(_TAIL)).otherwise(F.col("before").eqNullSafe(_HEAD))
+    quality = F.when(fits, F.col("rest")).otherwise(F.raise_error(F.concat("path", F.lit(_NO_FASTQ))))
+    mended = torn.where((F.col("part") == _HEAD) | ~fits).select("text_id", "seq", quality.alias("quality"), "path")
+    return whole.unionByName(mended)
+
+
+_WHOLE, _HEAD, _TAIL = 0, 1, 2
+_PIECE = T.StructType([*RECORD, T.StructField("split", T.LongType()), T.StructField("part", T.IntegerType())])
+_NO_FASTQ = " is no FASTQ file of four-line records"
 
 
 def _fastq(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of what lies between line ends that @ follows, in the order of a split.
+
+    A record with a quality that begins with @ is two pieces: three lines and
+    one.  Where a split ends between them its part is marked.
+    """
+    here, head, fresh = None, None, True
+    out = to_arrow_schema(_PIECE)
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            lines = [x.rstrip("\r") for x in data.decode("utf-8", "replace").split("\n")]
-            while lines and not lines[-1]:
+        rows = []
+        for value, *place in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            path, split = place
+            if place != here:
+                if head is not None:
+                    rows.append((*head, None, *here, _HEAD))
+                here, head, fresh = place, None, True
+            lines = [x.rstrip("\r") for x in value.split("\n")]
+            opens = fresh and split == 0
+            if opens and not any(lines):
+                continue
+            if opens and not lines[0].startswith("@"):
+                raise ValueError(path + _NO_FASTQ)
+            while len(lines) > 4 and not lines[-1]:
                 lines.pop()
-            if len(lines) % 4 or any(not x.startswith("@") for x in lines[::4]) or any(not x.startswith("+") for x in lines[2::4]):
-                raise ValueError(f"{path} is no FASTQ file of four-line records")
-            columns = [[x[1:] for x in lines[::4]], lines[1::4], lines[3::4], [path] * (len(lines) // 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=RECORD.names)
+            name = lines[0][1:] if opens else lines[0]
+            if head is None and len(lines) in (3, 4) and lines[2].startswith("+"):
+                if len(lines) == 4 and lines[1] and not lines[3]:
+                    raise ValueError(path + _NO_FASTQ)
+                if len(lines) == 4:
+                    rows.append((name, lines[1], lines[3], path, split, _WHOLE))
+                else:
+                    head = (name, lines[1])
+            elif any(lines[1:]) or (head is None and (opens or not fresh or split == 0)):
+                raise ValueError(path + _NO_FASTQ)
+            elif head is None:
+                rows.append((None, None, "@" + lines[0], path, split, _TAIL))
+            else:
+                rows.append((*head, "@" + lines[0], path, split, _WHOLE))
+                head = None
+            fresh = False
+        yield made()
+    if head is not None:
+        rows = [(*head, None, *here, _HEAD)]
+        yield made()
 
 
 def read_fastx(spark: SparkSession, paths: list[str]) -> DataFrame:

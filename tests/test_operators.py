@@ -215,6 +215,31 @@ def test_sources(spark, tmp_path):
         fastx.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
 
 
+@pytest.mark.parametrize("split", [37, 64, 250, 1 << 20])
+def test_split_fastq(spark, tmp_path, split):
+    rng = random.Random(split)
+    records = []
+    for i in range(120):
+        n = rng.choice([0, 1, 1, 2, 9, 40])
+        records.append((f"{rng.choice(['', '@', '+'])}r{i}", "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@@+I", k=n))))
+    for name, end in (("a.fastq", "\n"), ("b.fq", "\r\n")):
+        (tmp_path / name).write_bytes("".join(f"@{a}{end}{b}{end}+{end}{c}{end}" for a, b, c in records).encode())
+    with gzip.open(tmp_path / "c.fastq.gz", "wt") as f:
+        f.write("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in records))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, split)
+    try:
+        rows = fastx.read_fastq(spark, str(tmp_path)).collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    found = {}
+    for r in rows:
+        found.setdefault(r.path.rsplit("/", 1)[1], []).append((r.text_id, r.seq, r.quality))
+    assert {name: sorted(x) for name, x in found.items()} == dict.fromkeys(("a.fastq", "b.fq", "c.fastq.gz"), sorted(records))
+
+
 def test_match_table(spark, tmp_path):
     table = spark.createDataFrame([("t", "CCCATCACCC")], "text_id string, seq string")
     found = S.search(table, [("p", "ATCG")], SearchOptions(alphabet="dna", k=1, rc=True), text_col="seq")
