@@ -29,6 +29,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Steps beyond a text that two edits at half a cost a letter allow, the cost, and the most letters that it is for.
+OVERHANG, ALPHA, MOST = 5, 0.5, 6
+
+
 def _dna(k: int = K, **more) -> SearchOptions:
     return SearchOptions(alphabet="dna", k=k, **more)
 
@@ -212,12 +216,19 @@ def sql_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT doc_id, {columns}, cigar_reverse(concat(doc_id, '=1X2D')) AS cigar FROM {{rows}}", rows=rows)
 
 
+def overhang_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every end, with patterns that begin before a text or end after it at half a cost a letter."""
+    options = SearchOptions(alphabet="iupac", k=K, trace=False, alpha=ALPHA, max_overhang=MOST)
+    found = S.search_all(reads(spark, sf_dir), [PATTERN], options, text_col="seq", keep=["doc_id"])
+    return found.select("doc_id", "text_end", "pattern_end", "cost")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         matched_documents, unmatched_documents, match_patterns, search_batched, file_patterns, match_summary, encoded_ends, long_texts, stream_minima,
         grouped_matches, running_costs, island_minima, letter_functions, n_functions, overhang_functions, fractional_costs, match_lines, table_file,
-        fasta_records, fastq_records, sql_matches, sql_sequences,
+        fasta_records, fastq_records, sql_matches, sql_sequences, overhang_ends,
     )
 }
 
@@ -261,6 +272,20 @@ def _records_sql(quality: str) -> str:
     return f"SELECT 'doc ' || doc_id AS text_id, CAST(length(s) AS INT) AS size, md5(s) AS seq_md5, {quality} AS quality_md5 FROM (SELECT doc_id, 'A' || {Q._bases_sql('text')} AS s FROM documents)"
 
 
+def _overhang_sql() -> str:
+    """Letters before a text cost as ``before`` says, ends after it as the best alignment of what lies inside and the rest."""
+    m, width = len(PATTERN), len(PATTERN) + K
+    before = f"(CAST(floor(least(j, {MOST}) * {ALPHA}) AS BIGINT) + greatest(j - {MOST}, 0))"
+    left = lambda pattern, size, text: f"list_min(list_transform(range(0, {size} + 1), lambda j: {before} + levenshtein(substr({pattern}, j + 1), {text})))"
+    return f"""WITH {Q._costs(Q._source('documents', 'doc_id'), PATTERN, K)},
+inside AS (SELECT id, i AS text_end, {m} AS pattern_end, CASE WHEN i > {width} THEN cost ELSE least(cost, {left(f"'{PATTERN}'", m, 'w')}) END AS cost FROM c JOIN c_w USING (id, n, i)),
+prefixes AS (SELECT id, n, r, left('{PATTERN}', CAST({m} - r AS BIGINT)) AS p, s FROM c_t, (SELECT unnest(range(0, {m + 1})) AS r)),
+last AS (SELECT id, n, r, least(list_min(list_transform(range(0, least(n, {width}) + 1), lambda q: levenshtein(p, right(s, q)))),
+  CASE WHEN n > {width} THEN {m} ELSE {left('p', 'length(p)', f'left(s, {width})')} END) AS cost FROM prefixes),
+after_ AS (SELECT id, n AS text_end, {m} - x AS pattern_end, min(last.cost + abs(r - x)) + CAST(floor(x * {ALPHA}) AS BIGINT) AS cost FROM last, (SELECT unnest(range(1, {OVERHANG + 1})) AS x) GROUP BY id, n, x)
+SELECT id AS doc_id, CAST(text_end AS INT) AS text_end, CAST(pattern_end AS INT) AS pattern_end, CAST(cost AS INT) AS cost FROM (SELECT * FROM inside UNION ALL SELECT * FROM after_) WHERE cost <= {K}"""
+
+
 _CODES = {"A": 1, "C": 2, "T": 4, "G": 8, "N": 15}
 _CODE = "CASE {0} " + " ".join(f"WHEN '{x}' THEN {n}" for x, n in _CODES.items()) + " END"
 _SLICE = " AND ".join(f"({_CODE.format(f'substr(s, {i}, 1)')} & {_CODE.format(f'substr(right(s, 4), {i}, 1)')}) > 0" for i in range(1, 5))
@@ -306,6 +331,7 @@ SELECT m, k, steps, least(steps, 4) AS steps_to_4, CAST(k + floor(CAST(0.3 AS FL
     "fasta_records": _records_sql("CAST(NULL AS VARCHAR)"),
     "fastq_records": _records_sql("md5(translate(s, 'ACGT', '@+I>'))"),
     "sql_matches": _both_strands(Q._match_sql("item_id", "+"), Q._match_sql("item_id", "-", start="n - stop", end="n - i")),
+    "overhang_ends": _overhang_sql(),
     "sql_sequences": f"""WITH t AS (SELECT doc_id, {Q._bases_sql('text', WITH_N)} AS s FROM documents)
 SELECT doc_id, md5({_COMPLEMENTS}) AS complement_md5, md5(reverse({_COMPLEMENTS})) AS revcomp_md5, false AS valid_e, true AS valid,
   CASE WHEN length(s) > 0 THEN (length(s) - length(replace(s, 'N', ''))) / length(s) ELSE 0 END > 0.1 AS many_n, '2D1X' || doc_id || '=' AS cigar FROM t""",
