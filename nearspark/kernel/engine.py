@@ -147,7 +147,7 @@ class Engine:
                 continue
             start, length = texts.offsets[text], texts.lengths[text]
             if options.mode == "alignments":
-                found = self._alignments(texts, rows[p], text, ends)
+                found = self._alignments(rows[p], texts, start, length, ends)
                 text = text[found.pop("hit")]
             elif options.trace:
                 columns = trace(rows[p], texts.data, start, length, ends, options)
@@ -162,16 +162,9 @@ class Engine:
             found |= {"row": text, "pattern_idx": np.full(len(text), ids[p]), "strand": np.full(len(text), strand, object)}
             yield found
 
-    def _alignments(self, texts: scan.Texts, pattern: np.ndarray, text: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-        needle = pattern.tobytes()
-        rows: list[tuple] = []
-        for hit, (t, end) in enumerate(zip(text.tolist(), ends.tolist(), strict=True)):
-            whole = texts.data[texts.offsets[t] : texts.offsets[t + 1]].tobytes()
-            for start, pattern_start, cost, cigar, _ in alignments(needle, whole, end, self.options):
-                rows.append((hit, start, end, pattern_start, len(needle), cost, cigar))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        out = {c: np.array(v, np.int64) for c, v in zip(("hit", "text_start", "text_end", "pattern_start", "pattern_end", "cost"), columns[:6], strict=True)}
-        return out | {"cigar": np.array(columns[6], object)}
+    def _alignments(self, pattern: np.ndarray, texts: scan.Texts, start: np.ndarray, length: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+        hit, text_start, pattern_start, cost, cigar = alignments(pattern, texts.data, start, length, ends, self.options)
+        return {"hit": hit, "text_start": text_start, "text_end": ends[hit], "pattern_start": pattern_start, "pattern_end": np.full(len(hit), len(pattern)), "cost": cost, "cigar": cigar}
 
     def ranges(self, values: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         """Maximal runs of ends within ``k``: row, pattern_idx, strand, first_end, last_end, least cost."""
