@@ -85,3 +85,49 @@ covered AS (SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(
 SELECT h.id AS doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(removed.n, 0) AS n_removed, coalesce(removed.spans, 0) AS n_spans,
   sha256(unhex(coalesce(kept_x, x))) AS kept_sha256, coalesce(covered.n, 0) AS n_passage_words
 FROM h LEFT JOIN kept USING (id) LEFT JOIN removed USING (id) LEFT JOIN covered USING (id)"""
+
+
+def _spans(kind: str, rank: int, pattern: str, good: str) -> str:
+    """Of each match x of a pattern that is ``good``: its kind, place and end; texts are cut at matches and counted to them."""
+    return rf"""SELECT id, {rank} AS rank, '{kind}' AS kind, text, CAST(place AS BIGINT) AS a, CAST(place + length(x) AS BIGINT) AS b, x FROM (
+  SELECT * FROM (SELECT id, x, sum(length(cut) + length(x)) OVER (PARTITION BY id ORDER BY i) - length(x) AS place
+    FROM (SELECT id, unnest(xs) AS x, unnest(string_split_regex(text, '{pattern}')[1:len(xs)]) AS cut, generate_subscripts(xs, 1) AS i FROM (SELECT id, text, regexp_extract_all(text, '{pattern}') AS xs FROM t)))
+  WHERE {good}) JOIN t USING (id)"""
+
+
+#: Characters beside which Python's \b sees a word's edge or not.
+_EDGE = r"(?i)(^|[^\p{L}\p{N}_])"
+
+
+def personal_data(context: int, ssn_up: str, ssn_down: str) -> str:
+    """Spans by patterns and checksums; numbers of a tax payer only where words before them say so."""
+    digits = r"regexp_replace(x, '[^0-9]', '', 'g')"
+    digit = f"CAST(substr({digits}, length({digits}) - i, 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN {digit} ELSE 2 * {digit} - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    before = f"substr(text, greatest(a - {context}, 0) + 1, a - greatest(a - {context}, 0))"
+    value = "CASE WHEN c <= '9' THEN CAST(c AS BIGINT) ELSE ascii(c) - 55 END"
+    moved = "substr(w, 5) || left(w, 4)"
+    mod97 = f"list_reduce(list_transform(range(1, length(w) + 1), lambda i: substr({moved}, i, 1)).list_transform(lambda c: {value}), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, CAST(0 AS BIGINT)) = 1"
+    base = [
+        _spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _spans("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(list_transform(string_split(x, '.'), lambda p: ltrim(p, '0')), lambda p: length(p) > 3 OR CAST('0' || left(p, 3) AS INT) > 255)) = 0"),
+        _spans("card", 2, r"[0-9](?:[ -]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"),
+        _spans("phone", 3, r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    ]
+    return rf"""WITH RECURSIVE t AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+words AS ({_spans('iban', 4, '[A-Za-z0-9]+', "regexp_matches(x, '^[A-Z]{2}[0-9]{2}')")}),
+tails AS (SELECT id, a, substr(text, a + 1, 69) AS y, unnest(range(15, 69)) AS size FROM words),
+able AS (SELECT id, a, size, replace(left(y, size), ' ', '') AS w FROM tails
+  WHERE size <= length(y) AND regexp_full_match(left(y, size), '[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9])+') AND NOT regexp_matches(substr(y, size + 1, 1), '[A-Za-z0-9]')),
+banks AS (SELECT id, a, a + max(size) AS b FROM able WHERE length(w) BETWEEN 15 AND 34 AND {mod97} GROUP BY id, a),
+chosen AS (SELECT id, min_by(a, a) AS a, min_by(b, a) AS b FROM banks GROUP BY id
+  UNION ALL SELECT n.id, min_by(n.a, n.a), min_by(n.b, n.a) FROM chosen c JOIN banks n ON n.id = c.id AND n.a >= c.b GROUP BY n.id),
+payers AS ({_spans('ssn', 5, '[0-9-]+', "regexp_full_match(x, '[0-9]{3}-[0-9]{2}-[0-9]{4}')")}),
+found AS ({' UNION ALL '.join(f'SELECT id, rank, kind, a, b FROM ({s})' for s in base)}
+  UNION ALL SELECT id, 4, 'iban', a, b FROM chosen
+  UNION ALL SELECT id, rank, kind, a, b FROM payers WHERE left(x, 3) NOT IN ('000', '666') AND left(x, 3) < '900' AND substr(x, 5, 2) <> '00' AND right(x, 4) <> '0000'
+    AND regexp_matches({before}, '{_EDGE}(?:{ssn_up})') AND NOT regexp_matches({before}, '{_EDGE}(?:{ssn_down})')),
+lists AS (SELECT id, count(*) AS n, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY rank, a) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY rank, a) FILTER (rank < 4) AS base FROM found GROUP BY id)
+SELECT id AS doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n, 0) AS n_found FROM t LEFT JOIN lists USING (id)"""

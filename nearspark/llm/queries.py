@@ -157,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mix_sources": _MIX_SQL,
     "op7_near_vectors": oracles.near_vectors(0.93),
     "op8_remove_repeats": oracles.repeats(suffix_dedup.LENGTH, suffix_dedup.PASSAGE),
+    "op10_find_pii": oracles.personal_data(pii.CONTEXT, *pii.SCORES["ssn"][1:]),
 }

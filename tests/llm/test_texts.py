@@ -246,3 +246,22 @@ def test_sum_of_squares_identity():
         z = m.bias + (m.weights[ids] * vals).sum()
         z += sum((m.factors[ids[i]] @ m.factors[ids[j]]) * vals[i] * vals[j] for i in range(len(ids)) for j in range(i))
         assert got[r] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), rel=1e-5)
+
+
+def test_personal_data_in_sql():
+    """The SQL of op10 finds what the operator finds, also the kinds that the tables lack."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    atoms = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", " ", "  ", "A", "7", "2024", "x", ".", "ssn ", "order ", "123-45-6789", "-", "@", "ab.cd", "+4915112345678", "4111111111111111", "1.2.3.4", "é", "東"]
+    texts = [*TEXTS, "IBAN DE89 3704 0044 0532 0130 00 2024 IN full", "taxpayer 000-12-3456, SSN 901-22-3333, épart ssn 321-54-9876"]
+    texts += ["".join(rng.choice(atoms, rng.integers(1, 14))) for _ in range(600)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    found = con.execute(f"SELECT spans, base_sha256, n_found FROM ({queries.ORACLE_SQL['op10_find_pii']}) ORDER BY doc_id").fetchall()
+    seen = set()
+    for text, (spans, base, n) in zip(texts, found, strict=True):
+        want = pii.find_spans(text or "")
+        seen |= {kind for kind, *_ in want}
+        joined = lambda kinds: ",".join(f"{k}:{a}:{b}" for k, a, b, _ in want if k in kinds)  # noqa: E731, B023
+        assert (spans, base, n) == (joined(pii.KINDS), hashlib.sha256(joined(pii.BASE).encode()).hexdigest(), len(want)), text
+    assert seen == set(pii.KINDS)
