@@ -309,6 +309,28 @@ def _sam_sql() -> str:
     return f"SELECT * FROM ({forward}) UNION ALL SELECT * FROM ({back})"
 
 
+def _pretty_sql(context: int = 20) -> str:
+    """Lines of matches; what a pattern alone has stands where it would be in the text."""
+
+    def columns(strand: str, pattern: str, middle: str, start: str, end: str, text: str) -> str:
+        moved = lambda letter: f"length(replace(left(ops, p), '{letter}', ''))"
+        step = f"CASE WHEN substr(ops, p + 1, 1) = 'I' THEN substr('{pattern}', {moved('D')} + 1, 1) ELSE substr(s, i + {moved('I')} + 1, 1) END"
+        drawn = middle.format(f"list_aggregate(list_transform(range(length(ops)), lambda p: {step}), 'string_agg', '')")
+        before = f"substr({text}, greatest({start} - {context}, 0) + 1, {start} - greatest({start} - {context}, 0))"
+        room = f"greatest({context} - (length(ops) - {len(pattern)}), 0)"
+        after = f"substr({text}, {end} + 1, {room})"
+        skipped = lambda n, form: f"CASE WHEN {n} > 0 THEN {form} ELSE repeat(' ', 15) END"
+        number = lambda n: f"lpad(CAST({n} AS VARCHAR), 9, ' ')"
+        left, right = f"{start} - length({before})", f"n - {end} - length({after})"
+        line = f"""'p ({strand}) ' || lpad(CAST(cost AS VARCHAR), 2, ' ') || ' | ' || {skipped(left, f"{number(left)} || ' bp + '")} || lpad({before}, {context}, ' ') || {drawn} || rpad({after}, CAST({room} AS INT), ' ')
+  || {skipped(right, f"' + ' || {number(right)} || ' bp'")} || ' @ ' || rpad(CAST({start} AS VARCHAR) || '-' || CAST({end} AS VARCHAR), 19, ' ')"""
+        return f"id AS item_id, '{strand}' AS strand, CAST({start} AS INT) AS text_start, {line} AS pretty"
+
+    forward = _trace_sql(_source("benchmark", "item_id"), PATTERN, K, columns("+", PATTERN, "{}", "i", "stop", "s"))
+    back = _trace_sql(f"SELECT item_id AS id, reverse({_bases_sql('text')}) AS s FROM benchmark", _COMPLEMENT["p"], K, columns("-", _COMPLEMENT["p"], "reverse({})", "(n - stop)", "(n - i)", "reverse(s)"))
+    return f"SELECT * FROM ({forward}) UNION ALL SELECT * FROM ({back})"
+
+
 def _all_vs_all_sql() -> str:
     letters = _bases_sql("translate(n_name, '0123456789_', 'bdfhjlnprtv')")
     return f"""WITH names AS (SELECT n_name AS name, {letters} AS s FROM nation),
@@ -327,6 +349,7 @@ ORACLE_SQL: dict[str, str] = {
     "search_trace": _trace_sql(_source("benchmark", "item_id"), PATTERN, 3, _TRACE_COLUMNS),
     "search_encoded": _encoded_sql(),
     "sam_table": _sam_sql(),
+    "pretty_lines": _pretty_sql(),
     "alignment_paths": _paths_sql(),
     "all_vs_all": _all_vs_all_sql(),
     "end_predicate": _predicate_sql(),
