@@ -2,12 +2,15 @@
 
 ``search`` prints a table of matches, ``filter`` the records with (or without)
 a match, ``grep`` shows matches in colour, ``agrep`` searches plain text files.
+The path ``-`` (or an empty one) is the standard input, in local mode.
 """
 
 from __future__ import annotations
 
 import argparse
+import shutil
 import sys
+import tempfile
 import time
 from collections.abc import Sequence
 
@@ -85,6 +88,22 @@ def _patterns(spark: SparkSession, args) -> list[tuple[str, bytes]]:
 
 def run(spark: SparkSession, argv: Sequence[str]) -> int:
     args = parser().parse_args(argv)
+    given = [args.path] if "path" in args else getattr(args, "paths", [])
+    if not {"", "-"} & set(given):
+        return _run(spark, args)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the standard input can be read in local mode only: pass a path that executors can open")
+    first = sys.stdin.buffer.read(1)
+    with tempfile.NamedTemporaryFile(prefix="stdin-", suffix=".fq" if first == b"@" else ".fa") as file:
+        file.write(first)
+        shutil.copyfileobj(sys.stdin.buffer, file)
+        file.flush()
+        args.path = file.name
+        args.paths = [file.name if p in ("", "-") else p for p in dict.fromkeys("-" if p == "" else p for p in given)]
+        return _run(spark, args)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "test":
         return _test(spark)
     if args.command == "crispr":

@@ -1,7 +1,9 @@
 """DataFrame operators, column functions, sources, SQL, streams and the command line."""
 
 import gzip
+import io
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,7 +274,7 @@ def test_stream(spark, sample, tmp_path):
         search_stream(table, patterns, DNA)
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "t.fa").write_text(">a\nCCCATCGCCC\n>b\nGGGGGGGG\n")
     (tmp_path / "t.txt").write_text("one\nsay hello there\n")
     (tmp_path / "g.txt").write_text("TAGCATCAGCTACGNGG\n")
@@ -287,3 +289,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert "| say " in say("agrep", "helo", "-k", "1", str(tmp_path / "t.txt")).out
     assert "exact\t0\t+\t0\t17" in say("crispr", "-g", str(tmp_path / "g.txt"), "-k", "1", "--max-n-frac", "0.1", str(tmp_path / "c.fa")).out
     assert "MB/s" in say("test").out
+    for path in ("-", ""):
+        monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(b">s\nTTATCGTT\n")))
+        assert say("filter", "-p", "ATCG", "-k", "0", path).out == ">s\nTTATCGTT\n"
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(b"@s\nTTATCGTT\n+\nIIIIIIII\n")))
+    assert say("filter", "-p", "ATCG", "-k", "0", "-").out == "@s\nTTATCGTT\n+\nIIIIIIII\n"
