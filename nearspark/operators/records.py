@@ -92,6 +92,11 @@ def with_patterns(matches: DataFrame, patterns: DataFrame) -> DataFrame:
     return matches.join(patterns, "pattern_idx")
 
 
+def pattern_summary(patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
+    """One row: n_queries, how many patterns there are, and max_pattern_length, the bytes of the longest; 0 without any."""
+    return patterns.agg(F.count(pattern_col).alias("n_queries"), F.coalesce(F.max(F.octet_length(pattern_col)), F.lit(0)).alias("max_pattern_length"))
+
+
 def all_vs_all(sequences: DataFrame, options: SearchOptions, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """(id, other_id, matches): how often each sequence occurs in each other one."""
     patterns = sequences.select(F.col(id_col).cast("string").alias("pattern_id"), F.col(seq_col).alias("pattern")).where(F.length("pattern") > 0)

@@ -57,6 +57,11 @@ def match_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_patterns(Q.search_many(spark, sf_dir), patterns)
 
 
+def pattern_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of parts as patterns."""
+    return R.pattern_summary(table(spark, sf_dir, "part").select("p_name"), "p_name")
+
+
 def search_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As search_many, with texts dealt anew and a mode named."""
     found = S.search_many(table(spark, sf_dir, "part"), NAMES, SearchOptions(k=1, trace=False), partitions=8, search_mode="batch_texts", text_col="p_name", keep=["p_partkey"])
@@ -226,7 +231,7 @@ def overhang_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        matched_documents, unmatched_documents, match_patterns, search_batched, file_patterns, match_summary, encoded_ends, long_texts, stream_minima,
+        matched_documents, unmatched_documents, match_patterns, pattern_batch, search_batched, file_patterns, match_summary, encoded_ends, long_texts, stream_minima,
         grouped_matches, running_costs, island_minima, letter_functions, n_functions, overhang_functions, fractional_costs, match_lines, table_file,
         fasta_records, fastq_records, sql_matches, sql_sequences, overhang_ends,
     )
@@ -295,6 +300,7 @@ ORACLE_SQL: dict[str, str] = {
     "matched_documents": f"{_HITS} SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT id FROM c WHERE cost <= 1)",
     "unmatched_documents": f"{_HITS} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT id FROM c WHERE cost <= 1)",
     "match_patterns": f"SELECT *, CASE pattern_idx {_LABEL} END AS label FROM ({_MANY})",
+    "pattern_batch": "SELECT count(p_name) AS n_queries, CAST(coalesce(max(strlen(p_name)), 0) AS INT) AS max_pattern_length FROM part",
     "search_batched": _MANY,
     "file_patterns": f"SELECT p_partkey, CAST(2 * pattern_idx + 1 AS VARCHAR) AS pattern_id, text_end, cost FROM ({_MANY})",
     "match_summary": f"SELECT CAST(sum(n) AS BIGINT) AS matches, count(DISTINCT conv_id) AS texts, count(*) AS ends FROM (SELECT conv_id, strand, place, sum(n) AS n FROM ({Q.ORACLE_SQL['search_rc']}) GROUP BY ALL)",

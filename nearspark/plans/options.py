@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -33,6 +34,9 @@ class SearchOptions:
     max_per_end, partial, max_cost: in ``alignments`` mode, the most
         alignments of an end, whether unfinished ones count too, and their
         largest cost.
+    prune: in ``alignments`` mode, which alignments are not grown further: a
+        function of the arrays text_start, pattern_start and cost of those that
+        are as far, which gives an array of booleans.
     """
 
     alphabet: str = "ascii"
@@ -50,6 +54,7 @@ class SearchOptions:
     max_per_end: int | None = None
     partial: bool = False
     max_cost: int | None = None
+    prune: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
 
     def __post_init__(self):
         letters = self.letters

@@ -7,6 +7,7 @@ import pytest
 
 from nearspark import SearchOptions
 from nearspark.functions.alphabets import alphabet
+from nearspark.kernel import trace
 from nearspark.kernel.engine import find
 from nearspark.kernel.trace import net_insertions
 from nearspark.local import Searcher, at_end, edit_distance, mutate, path, plant, random_sequence
@@ -84,6 +85,29 @@ def test_alignment_details():
     assert len(first) == 1
 
 
+def test_alignments_pruned_by_a_predicate():
+    every = dict(alphabet="dna", k=2, mode="alignments", partial=True)
+    found = run("ACGTAC", "TTACGTTACGG", **every)
+    kept = run("ACGTAC", "TTACGTTACGG", **every, prune=lambda start, p, cost: (cost > 0) & (p > 2))
+    # what grew out of a pruned one is gone, the pruned ones themselves are not
+    assert 0 < len(kept) < len(found) and set(kept) < set(found)
+    assert run("ACGTAC", "TTACGTTACGG", **every, prune=lambda start, p, cost: np.zeros(len(p), bool)) == found
+    assert all(p == 6 for _, _, _, p, *_ in run("ACGTAC", "TTACGTTACGG", **every, prune=lambda start, p, cost: p > 0))
+
+
+def test_alignments_of_many_ends_are_those_of_each():
+    rng = random.Random(5)
+    for _ in range(20):
+        p, t = random_sequence(rng, rng.randint(2, 7)), random_sequence(rng, 60)
+        options = SearchOptions(alphabet="dna", k=rng.randint(0, 2), mode="alignments", partial=rng.random() < 0.5, max_per_end=rng.choice([None, 1, 3]))
+        pattern, data = np.frombuffer(p, np.uint8), np.frombuffer(t, np.uint8)
+        ends = np.arange(61)
+        many = trace.alignments(pattern, data, np.zeros(61, np.int64), np.full(61, 60), ends, options)
+        each = [trace.alignments(pattern, data, np.zeros(1, np.int64), np.full(1, 60), ends[e : e + 1], options) for e in range(61)]
+        for x in range(1, 5):
+            assert many[x].tolist() == [v for one in each for v in one[x].tolist()]
+
+
 def test_net_insertions():
     assert net_insertions(list("=I")) == 1 and net_insertions(list("IXD")) == 0 and net_insertions(list("I=")) == 0 and net_insertions([]) == 0
 
