@@ -12,10 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nearspark.kernel.engine import FIELDS, Engine
+from nearspark.kernel.engine import FIELDS, SLICE_BYTES, Engine, as_texts
 from nearspark.kernel.trace import trace
 from nearspark.plans.options import SearchOptions
 from nearspark.plans.seeds import seed_filter
@@ -164,11 +165,14 @@ def search_many(texts: DataFrame, patterns: Patterns, options: SearchOptions, pa
     return search(texts.repartition(partitions) if partitions else texts, patterns, options, **more)
 
 
+_ENDS = T.ArrayType(T.StructType([T.StructField("search_end", T.IntegerType()), T.StructField("cost", T.IntegerType())]))
+
+
 def _ends_schema(texts: DataFrame, kept: Sequence[str]) -> T.StructType:
     return T.StructType(
         [texts.schema[c] for c in kept]
         + [T.StructField("pattern_idx", T.IntegerType()), T.StructField("pattern_id", T.StringType()), T.StructField("strand", T.StringType())]
-        + [T.StructField("search_pattern", T.BinaryType()), T.StructField("search_text", T.BinaryType()), T.StructField("search_end", T.IntegerType()), T.StructField("cost", T.IntegerType()), T.StructField("text_row", T.LongType())]
+        + [T.StructField("search_pattern", T.BinaryType()), T.StructField("search_text", T.BinaryType()), T.StructField("search_ends", _ENDS), T.StructField("text_row", T.LongType())]
     )
 
 
@@ -182,7 +186,7 @@ def search_where(texts: DataFrame, patterns: Patterns, options: SearchOptions, p
     """
     if options.mode == "alignments":
         raise ValueError("a predicate on ends is for the modes minima and all")
-    kept = _kept(texts, text_col, keep, [*MATCH.names, "search_pattern", "search_text", "search_end", "text_row"])
+    kept = _kept(texts, text_col, keep, [*MATCH.names, "search_pattern", "search_text", "search_end", "search_ends", "text_row"])
     schema = _ends_schema(texts, kept)
     parts = None
     for first, block in pattern_blocks(patterns):
@@ -191,7 +195,13 @@ def search_where(texts: DataFrame, patterns: Patterns, options: SearchOptions, p
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         raise ValueError("there are no patterns")
-    ends = parts.where(predicate)
+    alike = [c for c in schema.names if c != "search_ends"]
+    ends = parts.select(*[F.col(f"`{c}`") for c in alike], F.inline("search_ends")).where(predicate)
+    # of a text only the window that an alignment to its end can reach is handed on
+    size = F.octet_length("search_text")
+    first = F.greatest(F.least("search_end", size) - F.octet_length("search_pattern") - options.k, F.lit(0))
+    window = F.substring("search_text", first + 1, F.octet_length("search_pattern") + options.k)
+    ends = ends.select(*[F.col(f"`{c}`") for c in kept], "pattern_idx", "pattern_id", "strand", "search_pattern", window.alias("__window__"), first.alias("__first__"), size.alias("__size__"), "search_end", "cost", "text_row")
     if options.best_only:
         order = Window.partitionBy("text_row", "pattern_idx", "strand").orderBy("cost", F.desc("search_end"))
         ends = ends.withColumn("__n__", F.row_number().over(order)).where("__n__ = 1").drop("__n__")
@@ -200,6 +210,7 @@ def search_where(texts: DataFrame, patterns: Patterns, options: SearchOptions, p
 
 
 def _ending(block, options: SearchOptions, schema: T.StructType, n_kept: int):
+    """Each text once for each pattern and strand with ends, as it is searched."""
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,29 +218,41 @@ def _ending(block, options: SearchOptions, schema: T.StructType, n_kept: int):
 
         first, patterns = block.value
         engine = Engine([p for _, p in patterns], options.with_(trace=False, best_only=False))
+        by_text = options.rc_mode == "text"
         task, seen = (TaskContext.get().partitionId() << 33), 0
         for batch in batches:
-            plain = [_bytes(t or b"") for t in batch.column(0).to_pylist()]
+            plain = batch.column(0).cast(pa.large_binary())
+            sizes = pc.fill_null(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
             for found in engine.search(batch.column(0)):
-                rows = found["row"].tolist()
-                forward = found["strand"] == "+"
-                sizes = np.array([len(plain[r]) for r in rows], np.int64)
-                by_text = options.rc_mode == "text"
-                beyond = np.array([len(patterns[p][1]) for p in found["pattern_idx"].tolist()]) - found["pattern_end"]
-                ends = np.where(forward | (not by_text), found["text_end"], sizes - found["text_start"]) + beyond
-                texts = [plain[r] if f or not by_text else plain[r][::-1] for r, f in zip(rows, forward, strict=True)]
-                needles = [patterns[p][1] if f else options.letters.complement(patterns[p][1]) if by_text else options.letters.reverse_complement(patterns[p][1]) for p, f in zip(found["pattern_idx"].tolist(), forward, strict=True)]
-                made = [
-                    _ints(found["pattern_idx"] + first),
-                    pa.array([patterns[p][0] for p in found["pattern_idx"].tolist()], pa.string()),
-                    pa.array(found["strand"], pa.string()),
-                    pa.array(needles, pa.binary()),
-                    pa.array(texts, pa.binary()),
-                    _ints(ends),
-                    _ints(found["cost"]),
-                    pa.array(found["row"] + task + seen, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns[1 : 1 + n_kept]] + made, schema=out)
+                if not len(found["row"]):
+                    continue
+                # a part of the matches is of one pattern and strand
+                p, forward = int(found["pattern_idx"][0]), found["strand"][0] == "+"
+                name, pattern = patterns[p]
+                needle = pattern if forward else options.letters.complement(pattern) if by_text else options.letters.reverse_complement(pattern)
+                order = np.argsort(found["row"], kind="stable")
+                row, cost = found["row"][order], found["cost"][order]
+                end = found["text_end"][order] if forward or not by_text else sizes[row] - found["text_start"][order]
+                end = end + len(pattern) - found["pattern_end"][order]
+                begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                stops = np.append(begins[1:], len(row))
+                held = np.cumsum(sizes[row[begins]])
+                for some in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(held // SLICE_BYTES)) + 1):
+                    rows = row[begins[some]]
+                    texts = [t.as_py() for t in plain.take(pa.array(rows, pa.int64()))]
+                    low, high = begins[some[0]], stops[some[-1]]
+                    items = pa.StructArray.from_arrays([_ints(end[low:high]), _ints(cost[low:high])], fields=list(out.field("search_ends").type.value_type))
+                    offsets = pa.array(np.append(begins[some], high) - low, pa.int32())
+                    made = [
+                        pa.array(np.full(len(rows), p + first), pa.int32()),
+                        pa.array([name] * len(rows), pa.string()),
+                        pa.array([found["strand"][0]] * len(rows), pa.string()),
+                        pa.array([needle] * len(rows), pa.binary()),
+                        pa.array(texts if forward or not by_text else [t[::-1] for t in texts], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, items, type=out.field("search_ends").type),
+                        pa.array(rows + task + seen, pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns[1 : 1 + n_kept]] + made, schema=out)
             seen += batch.num_rows
 
     return run
@@ -237,34 +260,35 @@ def _ending(block, options: SearchOptions, schema: T.StructType, n_kept: int):
 
 def _tracing(options: SearchOptions, schema: T.StructType, n_kept: int):
     out = to_arrow_schema(schema)
+    names = ("pattern_idx", "pattern_id", "strand", "needle", "window", "first", "size", "end", "cost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {c: batch.column(n_kept + i) for i, c in enumerate(("pattern_idx", "pattern_id", "strand", "search_pattern", "search_text", "search_end", "cost"))}
-            n = batch.num_rows
-            values = {c: np.full(n, -1) for c in ("text_start", "text_end", "pattern_start", "pattern_end")}
-            cigar, keep = np.full(n, None, object), np.ones(n, bool)
-            texts = [t.as_buffer() for t in get["search_text"]]
-            for i in range(n):
-                needle = np.frombuffer(get["search_pattern"][i].as_buffer(), np.uint8)
-                data = np.frombuffer(texts[i], np.uint8)
-                end = np.array([get["search_end"][i].as_py()])
-                size = len(data)
-                if options.trace:
-                    start, stop, p1, p2, _, c = (x[0] for x in trace(needle, data, np.zeros(1, np.int64), np.array([size]), end, options))
-                    cigar[i] = c
-                    limit = options.max_n_frac
-                    if limit is not None and limit < 1 and stop > start:
-                        part = data[start:stop]
-                        keep[i] = np.float32(((part | 32) == 110).sum()) / np.float32(len(part)) <= np.float32(limit)
-                else:
-                    beyond = max(0, int(end[0]) - size)
-                    start, stop, p1, p2 = -1, int(end[0]) - beyond, -1, len(needle) - beyond
-                if get["strand"][i].as_py() == "-" and options.rc_mode == "text":
-                    start, stop = size - stop, (size - start if start >= 0 else -1)
-                for c, v in zip(values, (start, stop, p1, p2), strict=True):
-                    values[c][i] = v
-            made = [get["pattern_idx"], get["pattern_id"], *[_ints(v) for v in values.values()], get["cost"], get["strand"], pa.array(cigar, pa.string())]
+            get = {c: batch.column(n_kept + i) for i, c in enumerate(names)}
+            first, size, end = (get[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "size", "end"))
+            windows = as_texts(get["window"])
+            begins = windows.offsets[:-1]
+            beyond = np.maximum(end - size, 0)
+            needles = get["needle"].dictionary_encode()
+            which = needles.indices.to_numpy(zero_copy_only=False)
+            lengths = np.array([len(x) for x in needles.dictionary.to_pylist()], np.int64)[which]
+            start, stop, p1, p2 = np.full(len(end), -1), end - beyond, np.full(len(end), -1), lengths - beyond
+            cigar, keep = np.full(len(end), None, object), np.ones(len(end), bool)
+            if options.trace:
+                for i, needle in enumerate(needles.dictionary.to_pylist()):
+                    at = np.flatnonzero(which == i)
+                    # where the texts would begin, of which the windows are all that is looked at
+                    start[at], stop[at], p1[at], p2[at], _, cigar[at] = trace(np.frombuffer(needle, np.uint8), windows.data, begins[at] - first[at], size[at], end[at], options)
+                limit = options.max_n_frac
+                if limit is not None and limit < 1:
+                    sums = np.concatenate([[0], np.cumsum((windows.data | 32) == 110)])
+                    low, high = begins + np.minimum(start - first, windows.lengths), begins + stop - first
+                    share = (sums[high] - sums[low]).astype(np.float32) / np.maximum(stop - start, 1).astype(np.float32)
+                    keep = (share <= np.float32(limit)) | (stop <= start)
+            if options.rc_mode == "text":
+                back = np.asarray(get["strand"].to_pylist(), object) == "-"
+                start, stop = np.where(back, size - stop, start), np.where(back, np.where(start >= 0, size - start, -1), stop)
+            made = [get["pattern_idx"], get["pattern_id"], *[_ints(x) for x in (start, stop, p1, p2)], get["cost"], get["strand"], pa.array(cigar, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], schema=out).filter(pa.array(keep))
 
     return run
