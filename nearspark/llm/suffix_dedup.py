@@ -24,11 +24,16 @@ ordered by the fingerprint of its first ``length`` bytes.  Both phases deal
 fingerprints, never groups.  Every entry is sent, equal ones too; the receiving
 shard merges those of a batch before they are indexed, so a passage that is
 frequent costs the one shard an entry in memory for each occurrence.
+
+An entry is sent as its two fingerprints and three packed numbers: the row of its
+text in the batch, and its first and last start.  The keys of a batch's texts
+travel once, with one of its shards, and meet the replies where these are gathered.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,14 +166,28 @@ def _anchors(sums: np.ndarray, sums_two: np.ndarray, offsets: np.ndarray, length
     return hashes[anchor[first]], tx.range_hashes(sums_two, low, high + length, 1), doc[low], low - offsets[doc[low]], high - offsets[doc[low]]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, deflated one plane of bytes after the other."""
+    return zlib.compress(x.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(blob: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def _places(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[str, bytes]:
+    """Columns that say where entries lie: rows as differences, ranges by start and span."""
+    return {"doc": _packed(np.diff(doc.astype(np.int64), prepend=0)), "low": _packed(low), "span": _packed(high - low)}
+
+
 class _Writer:
-    """Entries of one batch of texts, dealt into shards with the keys of their texts.
+    """Entries of one batch of texts, dealt into shards; one of these gets the keys of the texts.
 
     The shard follows from the first fingerprint, or from the second one.
     """
 
     SCHEMA = T.StructType(
-        [T.StructField("shard", T.IntegerType()), T.StructField("batch", T.BinaryType())] + [T.StructField(c, T.BinaryType()) for c in ("keys", "doc", "a", "b", "low", "high")]
+        [T.StructField("shard", T.IntegerType()), T.StructField("batch", T.BinaryType())] + [T.StructField(c, T.BinaryType()) for c in ("keys", "doc", "a", "b", "low", "span")]
     )
 
     def __init__(self, shards: int, by_first: bool):
@@ -179,20 +198,16 @@ class _Writer:
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
         name = hashlib.md5(keys.tobytes()).digest()
-        rows = {c: [] for c in ("shard", "batch", "keys", "doc", "a", "b", "low", "high")}
+        rows = []
         for s in range(self.shards):
             part = order[ends[s] : ends[s + 1]]
-            if not len(part):
-                continue
-            used, local = np.unique(doc[part], return_inverse=True)
-            rows["shard"].append(s)
-            rows["batch"].append(name)
-            rows["keys"].append(keys[used].tobytes())
-            rows["doc"].append(local.astype("<u4").tobytes())
-            for c, x, kind in (("a", a, "<u8"), ("b", b, "<u8"), ("low", low, "<u4"), ("high", high, "<u4")):
-                rows[c].append(x[part].astype(kind).tobytes())
-        kinds = [pa.int32(), *[pa.binary()] * 7]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+            if len(part):
+                prints = {c: x[part].astype("<u8").tobytes() for c, x in (("a", a), ("b", b))}
+                rows.append({"shard": s, "batch": name, "keys": None} | prints | _places(doc[part], low[part], high[part]))
+        # a row that follows from the name, so that keys of many batches spread over the shards
+        rows[int.from_bytes(name[:4], "big") % len(rows)]["keys"] = keys.tobytes()
+        kinds = {"shard": pa.int32()} | dict.fromkeys(self.SCHEMA.names[1:], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()], names=list(kinds))
 
 
 def _collect(parts: list[tuple], n_cols: int) -> list[np.ndarray]:
@@ -220,13 +235,16 @@ def _suffixes(length: int, gram: int, passage: int, shards: int):
     return run
 
 
-_REPLY = T.StructType([T.StructField(c, T.BinaryType()) for c in ("batch", "keys", "doc", "low", "high", "open")])
+_REPLY = T.StructType([T.StructField(c, T.BinaryType()) for c in ("batch", "keys", "doc", "low", "span", "open")])
 _RANGES = T.StructType([T.StructField(c, T.BinaryType()) for c in ("key", "covered", "open")])
 
 
 def _arrays(table: pa.Table, row: int) -> dict[str, np.ndarray]:
-    kinds = {"keys": "V16", "doc": "<u4", "a": "<u8", "b": "<u8", "low": "<u4", "high": "<u4", "open": "u1"}
-    return {c: np.frombuffer(table.column(c)[row].as_buffer() or b"", kinds[c]) for c in table.column_names if c in kinds}
+    """The columns of a row; ``keys`` are empty where they travel with another."""
+    kinds = {"keys": "V16", "a": "<u8", "b": "<u8", "open": "u1"}
+    x = {c: np.frombuffer(table.column(c)[row].as_buffer() or b"", kinds[c]) for c in table.column_names if c in kinds}
+    doc, low, span = (_unpacked(table.column(c)[row].as_buffer()) for c in ("doc", "low", "span"))
+    return x | {"doc": np.cumsum(doc, dtype="<u4"), "low": low, "high": low + span}
 
 
 def _indexed(table: pa.Table) -> tuple[np.ndarray, list[dict[str, np.ndarray]], np.ndarray]:
@@ -242,26 +260,27 @@ def _indexed(table: pa.Table) -> tuple[np.ndarray, list[dict[str, np.ndarray]],
         back = np.empty(len(a), np.int64)
         back[order] = np.cumsum(lead) - 1
         copies = np.bincount(back)
-        pairs = np.unique(back * len(x["keys"]) + x["doc"]) // max(len(x["keys"]), 1)
+        docs = int(x["doc"].max()) + 1
+        pairs = np.unique(back * docs + x["doc"]) // docs
         many = np.where(x["low"][kept] >= _WORD, np.bincount(pairs, minlength=len(copies)), copies) > 1
         index.insert(x["a"][kept], x["b"][kept], kept + total, many)
-        x["kept"], x["back"] = kept, back
+        x["kept"], x["back"], x["batch"] = kept, back, table.column("batch")[row].as_py()
         batches.append(x)
         begins.append(total)
         total += len(x["a"])
     return index.entries(), batches, np.array(begins)
 
 
-def _reply(table: pa.Table, x: dict, row: int, chosen: np.ndarray, low: np.ndarray, high: np.ndarray, open_: np.ndarray) -> tuple:
-    used, local = np.unique(x["doc"][chosen], return_inverse=True)
-    return (table.column("batch")[row].as_py(), x["keys"][used].tobytes(), local.astype("<u4").tobytes(), low.astype("<u4").tobytes(), high.astype("<u4").tobytes(), open_.astype("u1").tobytes())
+def _reply(x: dict, chosen: np.ndarray, open_: np.ndarray) -> tuple:
+    places = _places(x["doc"][chosen], x["low"][chosen], x["high"][chosen])
+    return (x["batch"], x["keys"].tobytes(), *places.values(), open_.astype("u1").tobytes())
 
 
 def _flags(entries: np.ndarray, batches: list[dict], begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each batch, of every entry: same, near, witness.
 
     A witness stands for all entries of equal fingerprints that are near others:
-    it is the first of them by key and place, wherever copies of it lie.
+    it is the first of them by batch, row and place.
     """
     order = np.argsort(entries["id"])
     ids, same, near = entries["id"][order], entries["same"][order] > 0, entries["near"][order] > 0
@@ -274,16 +293,13 @@ def _flags(entries: np.ndarray, batches: list[dict], begins: np.ndarray) -> list
     if any(len(w) for w in wanted):
         batch = np.repeat(np.arange(len(batches)), [len(w) for w in wanted])
         place = np.concatenate(wanted)
-        get = lambda f: np.concatenate([f(x, w) for x, w in zip(batches, wanted, strict=True)])
-        a, b, low = (get(lambda x, w, c=c: x[c][w]) for c in ("a", "b", "low"))
-        key = np.ascontiguousarray(get(lambda x, w: x["keys"][x["doc"][w]])).view(np.dtype([("h", ">u8"), ("l", ">u8")]))
-        order = np.lexsort((low, key["l"], key["h"], b, a))
-        a, b, low, key, batch, place = (v[order] for v in (a, b, low, key, batch, place))
+        a, b, doc, low = (np.concatenate([x[c][w] for x, w in zip(batches, wanted, strict=True)]) for c in ("a", "b", "doc", "low"))
+        _, rank = np.unique([x["batch"] for x in batches], return_inverse=True)
+        order = np.lexsort((low, doc, rank[batch], b, a))
+        a, b, batch, place = (v[order] for v in (a, b, batch, place))
         lead = np.ones(len(a), bool)
         lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.maximum.accumulate(np.where(lead, np.arange(len(a)), 0))
-        chosen = (key == key[first]) & (low == low[first])
-        for i, p in zip(batch[chosen].tolist(), place[chosen].tolist(), strict=True):
+        for i, p in zip(batch[lead].tolist(), place[lead].tolist(), strict=True):
             out[i][2][p] = True
     return out
 
@@ -292,11 +308,11 @@ def _resolve(table: pa.Table) -> pa.Table:
     """A shard of anchors: which have all windows repeated, which stay open."""
     entries, batches, begins = _indexed(table)
     rows = []
-    for row, (x, (same, near, witness)) in enumerate(zip(batches, _flags(entries, batches, begins), strict=True)):
+    for x, (same, near, witness) in zip(batches, _flags(entries, batches, begins), strict=True):
         chosen = np.flatnonzero(same | near)
-        if len(chosen):
+        if len(chosen) or len(x["keys"]):
             open_ = (~same & near) | witness
-            rows.append(_reply(table, x, row, chosen, x["low"][chosen], x["high"][chosen], (same[chosen] * 1) | (open_[chosen] * 2)))
+            rows.append(_reply(x, chosen, (same[chosen] * 1) | (open_[chosen] * 2)))
     return _table(rows, _REPLY)
 
 
@@ -304,10 +320,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     """A shard of windows: those that occur again."""
     entries, batches, begins = _indexed(table)
     rows = []
-    for row, (x, (same, _, _)) in enumerate(zip(batches, _flags(entries, batches, begins), strict=True)):
+    for x, (same, _, _) in zip(batches, _flags(entries, batches, begins), strict=True):
         chosen = np.flatnonzero(same)
-        if len(chosen):
-            rows.append(_reply(table, x, row, chosen, x["low"][chosen], x["low"][chosen], np.ones(len(chosen))))
+        if len(chosen) or len(x["keys"]):
+            rows.append(_reply(x, chosen, np.ones(len(chosen))))
     return _table(rows, _REPLY)
 
 
@@ -331,17 +347,21 @@ def _union(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _by_document(table: pa.Table) -> pa.Table:
     """The replies to one batch, gathered for each of its documents."""
     parts = [_arrays(table, row) for row in range(table.num_rows)]
-    keys = np.concatenate([x["keys"] for x in parts])
+    doc, low, high, flag = (np.concatenate([x[c] for x in parts]) for c in ("doc", "low", "high", "open"))
+    if not len(doc):
+        return _table([], _RANGES)
+    keys = next((x["keys"] for x in parts if len(x["keys"])), None)
+    if keys is None:
+        raise RuntimeError("a batch of texts came without its keys: its task ran again over rows in another order")
     _, kept, back = np.unique(keys.view(np.dtype([("h", ">u8"), ("l", ">u8")]))["h"], return_index=True, return_inverse=True)
-    names = keys[kept]
-    begins = np.cumsum([0, *[len(x["keys"]) for x in parts]])
-    doc = back[np.concatenate([x["doc"] + begin for x, begin in zip(parts, begins, strict=False)])]
-    low, high, flag = (np.concatenate([x[c] for x in parts]) for c in ("low", "high", "open"))
+    names, doc = keys[kept], back[doc]
     order = np.argsort(doc, kind="stable")
     ends = np.searchsorted(doc[order], np.arange(len(names) + 1))
     rows = []
     for i in range(len(names)):
         part = order[ends[i] : ends[i + 1]]
+        if not len(part):
+            continue
         blobs = []
         for bit in (1, 2):
             mine = part[(flag[part] & bit) > 0]
@@ -455,7 +475,8 @@ def remove_repeats(
 
     suffixes = source.where(F.octet_length("text") >= min(length, 2 * passage - 1)).select("key", "text").mapInArrow(_suffixes(length, gram, passage, shards), _Writer.SCHEMA)
     found = suffixes.groupBy("shard").applyInArrow(_resolve, _REPLY).groupBy("batch").applyInArrow(_by_document, _RANGES)
-    found = cut(found.groupBy("key").agg(F.max("covered").alias("covered"), F.max("open").alias("open")))
+    # repeated rows of several batches are covered alike, but a witness is open in one of them only
+    found = cut(found.groupBy("key").agg(F.max("covered").alias("covered"), F.listagg("open").alias("open")))
 
     # both joins below read this one exchange: the same columns reach them
     rows = source.repartition("key")

@@ -245,6 +245,44 @@ def test_repeats(spark):
     assert suffix_dedup.remove_repeats(table.limit(0)).isEmpty()
 
 
+def test_repeats_of_many_batches(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choices(WORDS, k=n))
+    whole, other = prose(60), prose(60)
+    # repeated rows, and rows that hold the same passages between other words: each alone in its batch
+    rows = [(1, whole), (1, whole), (2, other), (1, whole), (2, other), (3, prose(9) + " " + whole[40:200] + " " + prose(9)), (4, other[10:150] + " " + whole[100:260]), (5, prose(40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = suffix_dedup.remove_repeats(table, length=50, passage=12).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = [(r[0], *w, n) for r, w, n in zip(rows, plain_repeats([r[1] for r in rows], 50), plain_passages([r[1] for r in rows], 12), strict=True)]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in found) == sorted(want)
+
+
+def test_sent_entries_are_small():
+    """Entries are most of what op8 puts on disk: two fingerprints of 8 bytes, and little beside them."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(WORDS, k=400)) for _ in range(300)]
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts)], names=["key", "text"])
+    sent = pa.Table.from_batches(suffix_dedup._suffixes(400, 300, 51, 40)([batch]))
+    n = sum(len(a) // 8 for a in sent.column("a").to_pylist())
+    assert n > 20 * len(texts)
+    assert sum(len(v or b"") for c in sent.column_names[1:] for v in sent.column(c).to_pylist()) < 24 * n
+    # every text's keys are there once, and every place is read back
+    assert [k for k in sent.column("keys").to_pylist() if k] == [b"".join(keys)]
+    seen = [suffix_dedup._arrays(sent, row) for row in range(sent.num_rows)]
+    doc, low, high = (np.concatenate([x[c] for x in seen]).astype(np.int64) for c in ("doc", "low", "high"))
+    bytes_ = low < suffix_dedup._WORD
+    covered = Counter()
+    for d, a, b in zip(doc[bytes_].tolist(), low[bytes_].tolist(), high[bytes_].tolist(), strict=True):
+        covered[d] += b - a + 1
+    assert covered == {d: len(t) - 400 + 1 for d, t in enumerate(texts)}
+
+
 def test_log_index_levels():
     rng = np.random.default_rng(7)
     index, a, b = suffix_dedup.LogIndex(), [], []
