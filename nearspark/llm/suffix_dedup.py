@@ -18,8 +18,8 @@ merged.  The scan marks
 The same family holds suffixes of words: their windows are ``passage`` words
 long, and they count only what other documents hold too.
 
-The windows of open suffixes, and of one witness for each kind of surroundings
-that they were compared with, go through a second family, in which a suffix is
+The windows of open suffixes, and of one witness (of words: two, from different
+rows) for each kind of surroundings that they were compared with, go through a second family, in which a suffix is
 ordered by the fingerprint of its first ``length`` bytes.  Both phases deal
 fingerprints, never groups.  Every entry is sent, equal ones too; the receiving
 shard merges those of a batch before they are indexed, so a passage that is
@@ -280,7 +280,8 @@ def _flags(entries: np.ndarray, batches: list[dict], begins: np.ndarray) -> list
     """For each batch, of every entry: same, near, witness.
 
     A witness stands for all entries of equal fingerprints that are near others:
-    it is the first of them by batch, row and place.
+    it is the first of them by batch, row and place.  Words take a second one, the
+    first of another row: what is open may lie in the row of the first.
     """
     order = np.argsort(entries["id"])
     ids, same, near = entries["id"][order], entries["same"][order] > 0, entries["near"][order] > 0
@@ -296,10 +297,13 @@ def _flags(entries: np.ndarray, batches: list[dict], begins: np.ndarray) -> list
         a, b, doc, low = (np.concatenate([x[c][w] for x, w in zip(batches, wanted, strict=True)]) for c in ("a", "b", "doc", "low"))
         _, rank = np.unique([x["batch"] for x in batches], return_inverse=True)
         order = np.lexsort((low, doc, rank[batch], b, a))
-        a, b, batch, place = (v[order] for v in (a, b, batch, place))
-        lead = np.ones(len(a), bool)
-        lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        for i, p in zip(batch[lead].tolist(), place[lead].tolist(), strict=True):
+        a, b, doc, low, batch, place = (v[order] for v in (a, b, doc, low, batch, place))
+        chosen = np.ones(len(a), bool)
+        chosen[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.maximum.accumulate(np.where(chosen, np.arange(len(a)), 0))
+        other = (doc != doc[first]) | (rank[batch] != rank[batch[first]])
+        chosen[1:] |= other[1:] & ~other[:-1] & (low[1:] >= _WORD)
+        for i, p in zip(batch[chosen].tolist(), place[chosen].tolist(), strict=True):
             out[i][2][p] = True
     return out
 
@@ -475,7 +479,7 @@ def remove_repeats(
 
     suffixes = source.where(F.octet_length("text") >= min(length, 2 * passage - 1)).select("key", "text").mapInArrow(_suffixes(length, gram, passage, shards), _Writer.SCHEMA)
     found = suffixes.groupBy("shard").applyInArrow(_resolve, _REPLY).groupBy("batch").applyInArrow(_by_document, _RANGES)
-    # repeated rows of several batches are covered alike, but a witness is open in one of them only
+    # repeated rows of several batches are covered alike, but a witness is open in its own only
     found = cut(found.groupBy("key").agg(F.max("covered").alias("covered"), F.listagg("open").alias("open")))
 
     # both joins below read this one exchange: the same columns reach them

@@ -262,6 +262,17 @@ def test_repeats_of_many_batches(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in found) == sorted(want)
 
 
+def test_passages_that_also_repeat_within_a_row(spark):
+    """A passage in two rows, one of which holds a part of it again: the other row holds that part too."""
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [words(60) for _ in range(12)]
+    texts = [" ".join([*p, *words(9), *p[i : i + 25], *words(9)]) for i, p in enumerate(shared)] + [" ".join(p) for p in shared]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.n_passage_words for r in suffix_dedup.remove_repeats(table, length=50, passage=12).collect()}
+    assert found == dict(enumerate(plain_passages(texts, 12))) == dict(enumerate([85] * 12 + [60] * 12))
+
+
 def test_sent_entries_are_small():
     """Entries are most of what op8 puts on disk: two fingerprints of 8 bytes, and little beside them."""
     rng = random.Random(9)
